@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, length_buckets, line_dedup, revisits, token_packing, toxicity, url_reputation
+from . import decontamination, exact_dedup, jaccard_join, length_buckets, line_dedup, revisits, token_packing, toxicity, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(_read(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -110,5 +114,5 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_buckets.length_buckets(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_packing, op2_exact_dedup, op3_url_reputation, op4_toxicity, op6_decontamination, op7_revisits, op9_line_dedup, op10_length_buckets)}
+QUERIES = {f.__name__: f for f in (op1_token_packing, op2_exact_dedup, op3_url_reputation, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_revisits, op9_line_dedup, op10_length_buckets)}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_url_reputation": OP3_SQL, "op7_revisits": OP7_SQL}
