@@ -146,8 +146,12 @@ def removed_lines(docs: DataFrame, percent: int = 80, least: int = 5, hot: int =
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs, with all their rows and columns, whose text has lost the lines of removed_lines; a document that loses all has an empty text."""
+    """docs, with all their rows and columns, whose text has lost the lines of removed_lines; a document that loses all
+    has an empty text. A column n_chars, where there is one, follows the text."""
     gone = stored(removed_lines(docs, **options).where(F.size("removed") > 0).select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed")), "removed-lines")
     lines = F.split(F.col("text"), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    return docs.join(gone, docs.doc_id == gone["__doc"], "left").withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    changed = docs.join(gone, docs.doc_id == gone["__doc"], "left").withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return changed.select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, jaccard_join, length_buckets, line_dedup, revisits, token_packing, toxicity, url_reputation
+from . import decontamination, exact_dedup, jaccard_join, length_buckets, line_dedup, revisits, suffix_dedup, token_packing, toxicity, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -106,6 +106,10 @@ SELECT page_id * 2 + 1 AS record_id, url_key, full_id * 2 AS refers_to,
     CASE WHEN etag = full_tag THEN size END AS content_length FROM m"""
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(_read(spark, sf_dir, "documents"))
 
@@ -114,5 +118,5 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_buckets.length_buckets(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_packing, op2_exact_dedup, op3_url_reputation, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_revisits, op9_line_dedup, op10_length_buckets)}
+QUERIES = {f.__name__: f for f in (op1_token_packing, op2_exact_dedup, op3_url_reputation, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_revisits, op8_suffix_dedup, op9_line_dedup, op10_length_buckets)}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_url_reputation": OP3_SQL, "op7_revisits": OP7_SQL}
