@@ -16,6 +16,8 @@ from .common import U64, mixed, signed, stored, texts_of, window_hashes, word_ha
 PASSAGE, GRAM, REACH = 50, 8, 24
 #: A passage holds a minimiser within its first REACH k-grams, so at least so many of its words follow from there.
 SEED = PASSAGE - REACH + 1
+#: How many following suffixes each one is compared with.
+NEAR = 2
 
 
 def minimisers(words: np.ndarray) -> np.ndarray:
@@ -28,21 +30,21 @@ def minimisers(words: np.ndarray) -> np.ndarray:
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, tail, left, doc_id, pos): each retained suffix with the hashes of its first SEED and first PASSAGE words
-    (0 at the end of the text) and a byte for each of the 8 words before it, the nearest first."""
+    """(seed, tail, left, doc_id, pos): each retained suffix with the hash of its first SEED words and a byte
+    for each of the 8 words that follow those and of the 8 before it, the nearest first: they sort by what they share."""
     for batch in batches:
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
         for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
             words = word_hashes(words_of(text))
             if doc_id is None or len(words) < PASSAGE:
                 continue
-            at, seeds, tails = minimisers(words), window_hashes(words, SEED), window_hashes(words, PASSAGE)
+            at, seeds = minimisers(words), window_hashes(words, SEED)
             at = at[at < len(seeds)]
-            tail = np.zeros(len(at), U64)
-            tail[at < len(tails)] = tails[at[at < len(tails)]]
-            before, left = np.concatenate([np.zeros(8, U64), words & U64(255)]), np.zeros(len(at), U64)
+            low = np.concatenate([np.zeros(8, U64), words & U64(255), np.zeros(8, U64)])
+            tail, left = np.zeros(len(at), U64), np.zeros(len(at), U64)
             for i in range(8):
-                left |= before[at + 7 - i] << U64(56 - 8 * i)
+                tail |= low[at + 8 + SEED + i] << U64(56 - 8 * i)
+                left |= low[at + 7 - i] << U64(56 - 8 * i)
             for column, x in zip(out, (signed(seeds[at]), signed(tail), signed(left), np.full(len(at), doc_id, np.int64), at), strict=True):
                 column.append(x)
         seed, tail, left, doc, pos = (np.concatenate(x) for x in out)
@@ -70,8 +72,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = False
         last = [int(c[-1]) for c in columns]
         seed, tail, left, doc, pos = columns
-        same = seed[1:] == seed[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(same.sum()), part, np.int32)), *[pa.array(x[same]) for x in (seed[1:], tail[1:], left[1:], doc[:-1], pos[:-1], doc[1:], pos[1:])]], names)
+        for step in range(1, NEAR + 1):
+            same = seed[step:] == seed[:-step]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(same.sum()), part, np.int32)), *[pa.array(x[same]) for x in (seed[step:], tail[step:], left[step:], doc[:-step], pos[:-step], doc[step:], pos[step:])]], names)
     if last:
         yield edge(last)
 
@@ -115,7 +118,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     repeat what stands before them in the order of the suffixes (documents, then positions).
 
     A-Z are lower-cased; words are [^\\x20\\x09-\\x0D]+. The retained suffixes are sorted by range over their first 27
-    and 50 words, the words before, document and position, so copies of one passage, however many, spread over partitions; each is
+    words, the words after and before these, document and position, so copies of one passage, however many, spread over partitions; each is
     compared with its neighbours only, the last of a partition with the first of the next. Pairs of one diagonal are one row, and their matches
     are extended left and right in the whole texts.
 
