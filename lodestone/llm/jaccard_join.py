@@ -85,7 +85,7 @@ def _signatures(sets: list[np.ndarray], window: Window2, number: int, upper: boo
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, a, b): each signature once for a block of documents with a = b, and for its other documents there b, the first one."""
+    """(sig, a, b): each signature once for a block of documents with b null, and for its other documents there b, the first one."""
     plan, edge = windows(1 << 20), np.array(bands(1 << 20))
 
     def block(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -105,7 +105,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, bool)
         pivot = doc[first][np.cumsum(first) - 1] if len(sig) else doc
         new = first | (doc != pivot)
-        return pa.RecordBatch.from_arrays([pa.array(signed(sig[new])), pa.array(doc[new]), pa.array(pivot[new])], ["sig", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(signed(sig[new])), pa.array(doc[new]), pa.array(pivot[new], mask=first[new])], ["sig", "a", "b"])
 
     ids, sets, held = [], [], 0
     for batch in batches:
@@ -206,9 +206,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     sets = classes.select(F.col("rep").alias("id"), "n", "parity")
 
     rows = docs.mapInArrow(_signature_rows, "sig long, a long, b long")
-    alone = F.when(F.col("a") == F.col("b"), F.lit(0)).otherwise(F.xxhash64("a"))  # pairs of a block need not meet others
-    first = F.min("a").over(Window.partitionBy("sig", alone))
-    shared = rows.withColumn("b", F.when(F.col("a") == F.col("b"), first).otherwise(F.col("b"))).where("a <> b")
+    first = F.min("a").over(Window.partitionBy("sig", "b"))  # the blocks' first ones, with b null, meet; pairs of a block only each other
+    shared = rows.withColumn("b", F.coalesce("b", first)).where("a <> b")
     shared = stored(shared, "shared-signatures")
     named = shared
     for side in "ab":
