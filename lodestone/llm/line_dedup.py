@@ -39,10 +39,15 @@ def rarity(docs: DataFrame) -> DataFrame:
     return blocks.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "part"))), lambda x: x.part), "").cast("binary").alias("levels"))
 
 
-def _sets(docs: DataFrame, table: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line_no, keys, n, node): the tokens of each line of at least `least`, rarest first; node names the set."""
+def _sets(docs: DataFrame, table: DataFrame, least: int, wanted: str | None = None) -> DataFrame:
+    """(doc_id, line_no, keys, n, node): the tokens of each line of at least `least`, rarest first; node names the set.
+
+    wanted: a column of the line numbers to take; by default all are.
+    """
     lines = F.split(ascii_lower(F.coalesce("text", F.lit(""))), "\n")
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"), table.scalar().alias("levels"))
+    if wanted:
+        lines = F.transform(wanted, lambda i: F.try_element_at(lines, i + 1))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"), table.scalar().alias("levels"), *([wanted] if wanted else []))
 
     def keys_of(levels: Column) -> Column:
         def key(h: Column) -> Column:
@@ -52,16 +57,23 @@ def _sets(docs: DataFrame, table: DataFrame, least: int) -> DataFrame:
         return F.transform("lines", lambda line: F.sort_array(F.transform(_hashes(line), key)))
 
     keys = F.transform(F.array("levels"), keys_of)[0]  # a lambda's variable is bound once a document; a column would be copied for each token
-    sets = rows.select("doc_id", F.posexplode(keys).alias("line_no", "keys")).where(F.size("keys") >= least)
+    sets = rows.select("doc_id", F.posexplode(keys).alias("line_no", "keys"), *([wanted] if wanted else [])).where(F.size("keys") >= least)
+    if wanted:
+        sets = sets.withColumn("line_no", F.col(wanted)[F.col("line_no")])
     return sets.select("doc_id", "line_no", "keys", F.size("keys").alias("n"), F.xxhash64("keys").alias("node"))
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """A row for each of the rarest n - ceil(percent * n / 100) + 1 tokens: two similar lines share one of them."""
+def _with_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """prefix: the rarest n - ceil(percent * n / 100) + 1 tokens, one of which two similar lines share; parity: a bit for each of 64 cells, the parity of the tokens there."""
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
     size = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    rows = sets.select("node", "n", "doc_id", "line_no", parity.alias("parity"), F.posexplode(F.slice("keys", F.lit(1), size)).alias("pos", "token"))
-    return rows.where(F.shiftrightunsigned("token", 56) > 1)  # level 1: the token stands in one line
+    return sets.select("doc_id", "line_no", "node", "n", parity.alias("parity"), F.slice("keys", F.lit(1), size).alias("prefix"))
+
+
+def _prefixes(lines: DataFrame) -> DataFrame:
+    """A row for each token of the prefixes that stands in more than one line (level 1: one line)."""
+    rows = lines.select("node", "n", "doc_id", "line_no", "parity", F.posexplode("prefix").alias("pos", "token"))
+    return rows.where(F.shiftrightunsigned("token", 56) > 1)
 
 
 def _level(token: Column) -> Column:
@@ -94,8 +106,9 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, table: DataF
         pairs = pairs.join(firsts.select(F.col("node").alias(f"{side}_node"), F.col("first").alias(f"{side}_at")), f"{side}_node")
     pairs = stored(pairs.where("a_at < b_at"), "line-pairs")
     places = pairs.select("a_at.*").union(pairs.select("b_at.*")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = stored(_sets(texts, table, least).join(places, ["doc_id", "line_no"], "left_semi").select("node", "keys").dropDuplicates(["node"]), "line-sets")
+    wanted = places.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    sets = stored(_sets(texts, table, least, "wanted").select("node", "keys").dropDuplicates(["node"]), "line-sets")
     both = pairs.join(sets.select(F.col("node").alias("a_node"), F.col("keys").alias("a_keys")), "a_node").join(sets.select(F.col("node").alias("b_node"), F.col("keys").alias("b_keys")), "b_node")
     shared = F.size(F.array_intersect("a_keys", "b_keys"))
     return both.where(100 * shared >= percent * (F.size("a_keys") + F.size("b_keys") - shared)).select(F.col("b_node").alias("node")).distinct()
@@ -119,10 +132,9 @@ def removed_lines(docs: DataFrame, percent: int = 80, least: int = 5, hot: int =
     """
     docs = docs.select("doc_id", "text")
     table = stored(rarity(docs), "rarity")
-    sets = _sets(docs, table, least)
-    lines = stored(sets.select("doc_id", "line_no", "node"), "lines")
+    lines = stored(_with_prefixes(_sets(docs, table, least), percent), "lines")
     firsts = stored(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "first-lines")
-    prefixes = _prefixes(sets, percent)
+    prefixes = _prefixes(lines)
     top = 1 + int(LEVELS * (hot.bit_length() - 1))
     cold = prefixes.where(_level(F.col("token")) <= top)
     near = F.expr("a.token = b.token AND a.node <> b.node") & _earlier("a", "b") & _may_match("a", "b", percent)
