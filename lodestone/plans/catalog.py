@@ -11,6 +11,9 @@ from ..operators import documents as D
 from ..operators import events as E
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..operators import reviews as RV
+from ..operators import runs as RU
+from ..streaming.counts import daily_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -269,3 +272,126 @@ def run_day_streaks(spark, sf_dir):
 @query("SELECT user_id, ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_events(spark, sf_dir):
     return M.latest_per_key(_read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"))
+
+
+@query("""WITH r AS (SELECT user_id, ts::DATE AS day, count(*) AS steps, count(*) FILTER (event_type = 'error') AS failures, round_even(sum(value), 4) AS value FROM events GROUP BY 1, 2)
+SELECT *, CASE WHEN failures = steps THEN 'failed' WHEN failures > 0 THEN 'partially_succeeded' ELSE 'succeeded' END AS outcome FROM r""")
+def run_outcomes(spark, sf_dir):
+    steps = _read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", "value")
+    return RU.run_outcomes(steps, ["user_id", "day"], F.col("event_type") == "error", "value")
+
+
+_SLOW = "(value IS NULL OR value < 10)"
+
+
+@query(f"""SELECT event_type, n, failures, coalesce(reasons, '') AS reasons FROM (SELECT event_type, count(*) AS n, count(*) FILTER ({_SLOW}) AS failures FROM events GROUP BY 1)
+LEFT JOIN (SELECT event_type, string_agg(props, ',' ORDER BY props) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY props) AS i FROM (SELECT DISTINCT event_type, props FROM events WHERE {_SLOW})) WHERE i <= 20 GROUP BY 1) USING (event_type)""")
+def stage_statistics(spark, sf_dir):
+    return RU.stage_statistics(_read(spark, sf_dir, "events"), "event_type", F.expr(_SLOW), "props")
+
+
+@query("SELECT user_id, max(ts) AS last_beat FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 18:00:00' - INTERVAL 30 MINUTE")
+def stale_runs(spark, sf_dir):
+    return RU.stale_runs(_read(spark, sf_dir, "events"), "user_id", "ts", "2024-01-30 18:00:00", 30)
+
+
+_LEGAL = {"signup": ("view", "click"), "view": ("click", "view", "error"), "click": ("purchase", "view", "error"), "purchase": ("view",), "error": ("view", "click", "error")}
+
+
+@query("WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT * FROM l WHERE before IS NOT NULL AND NOT ("
+       + " OR ".join(f"(before = '{a}' AND event_type IN ({', '.join(map(_quote, b))}))" for a, b in _LEGAL.items()) + ")")
+def illegal_transitions(spark, sf_dir):
+    states = _read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    return RU.illegal_transitions(states, "user_id", ["ts", "event_id"], "event_type", _LEGAL).select("user_id", "event_id", "event_type", "before")
+
+
+_CHECKS = {"success_rate": ("event_type <> 'error'", 0.75), "purchase_rate": ("event_type = 'purchase'", 0.25), "valued_rate": ("value > 0", 0.9)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"check\", round_even(count(*) FILTER ({c}) / nullif(count(*), 0), 6) AS value, {t}::DOUBLE AS threshold, coalesce(round_even(count(*) FILTER ({c}) / nullif(count(*), 0), 6) >= {t}, false) AS passed FROM events" for n, (c, t) in _CHECKS.items()))
+def readiness_gates(spark, sf_dir):
+    return RU.readiness(_read(spark, sf_dir, "events"), {n: (F.expr(c), t) for n, (c, t) in _CHECKS.items()})
+
+
+@query("WITH d AS (SELECT ts::DATE AS day FROM events UNION SELECT o_orderdate::DATE FROM orders) SELECT count(*) AS run_days, greatest(0, 28 - count(*)) AS remaining FROM d WHERE day IS NOT NULL")
+def four_week_eval(spark, sf_dir):
+    return RU.run_days(_read(spark, sf_dir, "events"), _read(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts")))
+
+
+_STATES = {"error": "failed", "purchase": "succeeded", "signup": "queued", "view": "running", "click": "running"}
+
+
+@query("WITH m AS (SELECT user_id, ts::DATE AS day, min({'ts': ts, 'event_id': event_id, 'event_type': event_type}) AS x, count(*) AS merged FROM events GROUP BY 1, 2) SELECT user_id, day, x.event_id AS event_id, " + "CASE x.event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _STATES.items()) + " ELSE 'unknown' END AS event_type, merged FROM m")
+def ledger_merge(spark, sf_dir):
+    entries = _read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type")
+    return RU.merged_ledger(entries, ["user_id", "day"], ["ts", "event_id"], "event_type", _STATES).select("user_id", "day", "event_id", "event_type", "merged")
+
+
+@query("""WITH l AS (SELECT user_id AS source_id, max(ts::DATE) AS last_day FROM events GROUP BY 1), s AS (SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 2 = 0 THEN 'daily' ELSE 'weekly' END AS frequency, s_acctbal > 0 AS enabled FROM supplier)
+SELECT source_id, frequency, last_day FROM s LEFT JOIN l USING (source_id) WHERE enabled AND (last_day IS NULL OR (frequency = 'daily' AND last_day <> DATE '2024-01-30') OR (frequency = 'weekly' AND last_day <= DATE '2024-01-23'))""")
+def due_sources(spark, sf_dir):
+    sources = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.when(F.col("s_suppkey") % 2 == 0, "daily").otherwise("weekly").alias("frequency"), (F.col("s_acctbal") > 0).alias("enabled"))
+    return RU.due(sources, _read(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), "ts"), "2024-01-30").select("source_id", "frequency", "last_day")
+
+
+_REASONS = {"low_confidence": "confidence < 60", "low_value": "risk_level = '低' AND opportunity_level = '低'", "resolved": f"status IN ({_DONE})", "unrelated": "related_event_id IS NULL", "blank_title": "trim(title) = ''"}
+
+
+@query(f"WITH {SCORED}, r AS (SELECT event_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _REASONS.items()) + "], lambda x: x IS NOT NULL), ',') AS reasons FROM scored) SELECT *, reasons = '' AS passed FROM r")
+def gate_reasons(spark, sf_dir):
+    return RV.gate(_scored(spark, sf_dir), "event_id", {n: F.expr(c) for n, c in _REASONS.items()})
+
+
+@query(f"WITH {SCORED}, c AS (" + " UNION ALL ".join(f"SELECT '{n}' AS reason, count(*) FILTER ({c}) AS n FROM scored" for n, c in _REASONS.items()) + ") SELECT * FROM c WHERE n > 0")
+def reason_counts(spark, sf_dir):
+    return RV.reason_counts(_scored(spark, sf_dir), {n: F.expr(c) for n, c in _REASONS.items()})
+
+
+@query(f"WITH {DRAFTS}, c AS (SELECT count(*) AS n, coalesce(sum((trim(title) <> '')::INT + (trim(summary) <> '')::INT + (trim(impact) <> '')::INT + (related_event_id IS NOT NULL)::INT), 0)::BIGINT AS filled FROM drafts) SELECT *, round_even(100.0::DOUBLE * filled / nullif(n * 4, 0), 1) AS percent FROM c")
+def completeness(spark, sf_dir):
+    return RV.completeness(_drafts(spark, sf_dir), ["title", "summary", "impact", "related_event_id"])
+
+
+@query("""WITH l AS (SELECT event_type, sha256('{"event_id":' || event_id || ',"user_id":' || user_id || ',"props":' || to_json(props)::VARCHAR || '}') AS line FROM events WHERE user_id IS NOT NULL AND props IS NOT NULL),
+b AS (SELECT event_type, substr(line, 1, 3) AS block, count(*) AS n, sha256(string_agg(line, '' ORDER BY line)) AS digest FROM l GROUP BY 1, 2) SELECT event_type, sum(n)::BIGINT AS n, sha256(string_agg(digest, '' ORDER BY block)) AS digest FROM b GROUP BY 1""")
+def delivery_snapshot(spark, sf_dir):
+    return RV.snapshot(_read(spark, sf_dir, "events").where("user_id IS NOT NULL AND props IS NOT NULL"), "event_type", "event_id", ["user_id", "props"])
+
+
+@query("WITH c AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN g.lang IS DISTINCT FROM d.lang THEN 'lang' END, CASE WHEN g.source IS DISTINCT FROM d.source THEN 'source' END], lambda x: x IS NOT NULL), ',') AS changed FROM documents d JOIN (SELECT doc_id + 1 AS doc_id, lang, source FROM documents) g USING (doc_id)) SELECT * FROM c WHERE changed <> ''")
+def review_diff(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return RV.changed_fields(docs.withColumn("doc_id", F.col("doc_id") + 1), docs, "doc_id", ["lang", "source"])
+
+
+@query(f"""WITH k AS ({SQL['bm25_topk']}), p AS (SELECT query_id, doc_id, rank, sum(length(coalesce(text, ''))) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS total FROM k JOIN documents USING (doc_id)) SELECT * FROM p WHERE total <= 12000""")
+def context_pack(spark, sf_dir):
+    sizes = _read(spark, sf_dir, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    ranked = bm25_topk(spark, sf_dir).join(sizes, "doc_id")
+    return RV.context_pack(ranked, "size", 12000).select("query_id", "doc_id", "rank", "total")
+
+
+@query(f"""WITH a AS ({SQL['bm25_topk']}), b AS ({SQL['vector_topk']}), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.vec_id) AS doc_id,
+round_even(coalesce(0.25::DOUBLE + 0.55::DOUBLE / a.rank, 0) + coalesce(0.45::DOUBLE / b.rank, 0), 6) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.vec_id)
+SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
+def hybrid_topk(spark, sf_dir):
+    return RV.fuse(bm25_topk(spark, sf_dir), vector_topk(spark, sf_dir).withColumnRenamed("vec_id", "doc_id"))
+
+
+_INTENTS = {"compare": ("compar", "versus"), "sources": ("source", "quelle"), "impact": ("effect", "tion"), "active": ("the", "der ")}
+
+
+@query("SELECT conv_id, turn, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{t}')" for t in terms) + f" THEN '{n}'" for n, terms in _INTENTS.items()) + " ELSE 'general' END AS intent FROM conversations WHERE role = 'user'")
+def routed_questions(spark, sf_dir):
+    return RV.route(_read(spark, sf_dir, "conversations").where("role = 'user'"), "text", _INTENTS, "general").select("conv_id", "turn", "intent")
+
+
+@query("SELECT event_id, CASE WHEN json_valid(props) THEN TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events")
+def model_output_parse(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").k.alias("k"))
+
+
+@query("SELECT ts::DATE AS day, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def stream_daily(spark, sf_dir):
+    events = _read(spark, sf_dir, "events")
+    return daily_counts(spark, f"{sf_dir}/events.parquet*", events.schema)  # a pattern, since a stream takes no single file
