@@ -1,115 +1,167 @@
-"""Line dedup by an exact set-similarity join, in DataFrame operations only."""
+"""Line dedup by an exact set-similarity join: Spark groups and joins, Arrow batches make the token sets."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, stored
+from .common import U64, signed, stored, texts_of, word_hashes, words_of
 
 #: Buckets of the token counts and how many stand in one row while they are put together.
 BUCKETS, BLOCK = 1 << 18, 1 << 10
 LEVELS = 4  # a power of two; levels of rarity for each doubling of the count
+HELD = 500_000  # words that a task hashes at a time, unless one text has more
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    lines = F.split(ascii_lower(F.coalesce("text", F.lit(""))), "\n")
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(lines).alias("line_no", "line"))
+def _buckets(h: np.ndarray) -> np.ndarray:
+    return (h & U64(BUCKETS - 1)).astype(np.int64)
 
 
-def _hashes(line: Column) -> Column:
-    words = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
-    return F.array_distinct(F.transform(words, lambda t: F.xxhash64(t)))
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n): what a task counts, at most a row for each bucket."""
+    total, held, n = np.zeros(BUCKETS, np.int64), [], 0
+    for batch in batches:
+        for text in texts_of(batch, "text"):
+            held.append(_buckets(word_hashes(words_of(text))))
+            n += len(held[-1])
+            if n > HELD:
+                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                held, n = [], 0
+    if n:
+        total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row: a string with a character for each bucket of token hashes, 1 + LEVELS * log2 of the count of lines with such a token.
+    """One row: a string with a character for each bucket of token hashes, 1 + LEVELS * log2 of the count of words there.
 
-    Counts cover all lines. The string has BUCKETS characters whatever the corpus is; tokens that share a bucket
+    Counts cover all texts. The string has BUCKETS characters whatever the corpus is; tokens that share a bucket
     look more frequent than they are, which costs candidates but changes no result.
     """
-    tokens = _lines(docs).select(F.explode(_hashes(F.col("line"))).alias("h"))
-    counts = tokens.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).count()
-    every = counts.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("count")))
-    level = F.least(F.lit(126), F.floor(LEVELS * F.log2(F.greatest(F.sum("count"), F.lit(1))))).cast("int") + 1
+    counts = docs.select("text").mapInArrow(_count_rows, "bucket long, n long")
+    every = counts.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n")))
+    level = F.least(F.lit(126), F.floor(LEVELS * F.log2(F.greatest(F.sum("n"), F.lit(1))))).cast("int") + 1
     each = every.groupBy("bucket").agg(level.alias("level"))
     blocks = each.groupBy(F.floor(F.col("bucket") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("bucket", F.chr("level").alias("c")))).alias("x"))
     blocks = blocks.select("block", F.array_join(F.transform("x", lambda x: x.c), "").alias("part"))
     return blocks.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "part"))), lambda x: x.part), "").cast("binary").alias("levels"))
 
 
-def _sets(docs: DataFrame, table: DataFrame, least: int, wanted: str | None = None) -> DataFrame:
-    """(doc_id, line_no, keys, n, node): the tokens of each line of at least `least`, rarest first; node names the set.
+def _token_sets(words: list[list[bytes]], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of each line, one line after the other and rarest first, and how many each has."""
+    who = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    h = word_hashes(list(chain.from_iterable(words)))
+    key = (levels[_buckets(h)] << U64(56)) | (h >> U64(8))
+    order = np.lexsort((key, who))
+    key, who = key[order], who[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
+    return key[new], np.bincount(who[new], minlength=len(words))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], levels: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc ids, line numbers, sizes, tokens) of the lines with at least `least` distinct words; a third column of the batches names the lines to take."""
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        key, n = _token_sets(words, levels)
+        keep = n >= least
+        return np.array(ids, np.int64)[keep], np.array(nos, np.int32)[keep], n[keep], key[np.repeat(keep, n)]
+
+    ids, nos, words, held = [], [], [], 0
+    for batch in batches:
+        every = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(batch)
+        for doc_id, text, wanted in zip(batch.column(0).to_pylist(), texts_of(batch), every, strict=True):
+            if doc_id is None:
+                continue
+            lines = text.lower().split(b"\n")
+            for no in range(len(lines)) if wanted is None else wanted:
+                found = lines[no].split() if no < len(lines) else []
+                if len(found) >= least:
+                    ids.append(doc_id)
+                    nos.append(no)
+                    words.append(found)
+                    held += len(found)
+            if held > HELD:
+                yield block()
+                ids, nos, words, held = [], [], [], 0
+    if words:
+        yield block()
+
+
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
 
-    wanted: a column of the line numbers to take; by default all are.
-    """
-    lines = F.split(ascii_lower(F.coalesce("text", F.lit(""))), "\n")
-    if wanted:
-        lines = F.transform(wanted, lambda i: F.try_element_at(lines, i + 1))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"), table.scalar().alias("levels"), *([wanted] if wanted else []))
 
-    def keys_of(levels: Column) -> Column:
-        def key(h: Column) -> Column:
-            level = F.ascii(F.substr(levels, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-            return level.cast("long") * (1 << 56) + F.shiftrightunsigned(h, 8)
+def _nodes(key: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The name of each set: a hash of all its tokens."""
+    return pa.array(signed(np.array([xxhash.xxh3_64_intdigest(key[a:b].tobytes()) for a, b in zip(start, start[1:], strict=False)], U64)))
 
-        return F.transform("lines", lambda line: F.sort_array(F.transform(_hashes(line), key)))
 
-    keys = F.transform(F.array("levels"), keys_of)[0]  # a lambda's variable is bound once a document; a column would be copied for each token
-    sets = rows.select("doc_id", F.posexplode(keys).alias("line_no", "keys"), *([wanted] if wanted else [])).where(F.size("keys") >= least)
-    if wanted:
-        sets = sets.withColumn("line_no", F.col(wanted)[F.col("line_no")])
-    return sets.select("doc_id", "line_no", "keys", F.size("keys").alias("n"), F.xxhash64("keys").alias("node"))
+def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(_starts(n).astype(np.int32)), pa.array(signed(values)))
 
 
-def _with_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def _line_rows(levels: bytes, least: int, percent: int) -> Callable:
     """prefix: the rarest n - ceil(percent * n / 100) + 1 tokens, one of which two similar lines share; parity: a bit for each of 64 cells, the parity of the tokens there."""
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return sets.select("doc_id", "line_no", "node", "n", parity.alias("parity"), F.slice("keys", F.lit(1), size).alias("prefix"))
+    table = np.frombuffer(levels, np.uint8).astype(U64)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, nos, n, key in _blocks(batches, table, least):
+            start = _starts(n)
+            parity = np.bitwise_xor.reduceat(U64(1) << (key & U64(63)), start[:-1]) if len(n) else np.empty(0, U64)
+            size = n + 1 - -(-n * percent // 100)
+            prefix = key[np.arange(len(key)) - np.repeat(start[:-1], n) < np.repeat(size, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nos), _nodes(key, start), pa.array(n.astype(np.int32)), pa.array(signed(parity)), _lists(prefix, size)], ["doc_id", "line_no", "node", "n", "parity", "prefix"])
 
-def _prefixes(lines: DataFrame) -> DataFrame:
-    """A row for each token of the prefixes that stands in more than one line (level 1: one line)."""
-    rows = lines.select("node", "n", "doc_id", "line_no", "parity", F.posexplode("prefix").alias("pos", "token"))
-    return rows.where(F.shiftrightunsigned("token", 56) > 1)
+    return rows
 
 
-def _level(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 56)
+def _key_rows(levels: bytes, least: int) -> Callable:
+    table = np.frombuffer(levels, np.uint8).astype(U64)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, n, key in _blocks(batches, table, least):
+            yield pa.RecordBatch.from_arrays([_nodes(key, _starts(n)), _lists(key, n)], ["node", "keys"])
+
+    return rows
 
 
-def _earlier(a: str, b: str) -> Column:
-    return F.struct(f"{a}.doc_id", f"{a}.line_no") < F.struct(f"{b}.doc_id", f"{b}.line_no")
+def _level(token: Column) -> Column:
+    return F.shiftrightunsigned(token, 56)
 
 
-def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length, positional and parity filters: none drops a pair whose Jaccard similarity reaches percent / 100."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+def _similar_sizes(percent: int) -> Column:
+    """Length and parity filters on a and b: neither drops a pair whose Jaccard similarity reaches percent / 100."""
+    na, nb = F.col("a.n"), F.col("b.n")
     least = F.ceil(percent * (na + nb) / (100 + percent))
-    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))  # with the shared token itself
-    return (
-        (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (rest >= least)
-        & (F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) <= na + nb - 2 * least)
-    )
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= na + nb - 2 * least)
 
 
-def _pair_columns() -> list[Column]:
-    return [F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node")]
+def _similar_places(percent: int) -> Column:
+    """Positional filter: the tokens from the shared one on, itself included, suffice."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    return F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= F.ceil(percent * (na + nb) / (100 + percent))
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, table: DataFrame, least: int, percent: int) -> DataFrame:
-    """The nodes b of pairs (a, b) whose token sets reach the similarity and whose first lines stand in this order. Only documents named in a pair are read again."""
-    pairs = pairs.distinct()
-    for side in "ab":
-        pairs = pairs.join(firsts.select(F.col("node").alias(f"{side}_node"), F.col("first").alias(f"{side}_at")), f"{side}_node")
-    pairs = stored(pairs.where("a_at < b_at"), "line-pairs")
-    places = pairs.select("a_at.*").union(pairs.select("b_at.*")).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, levels: bytes, least: int, percent: int) -> DataFrame:
+    """The nodes b of pairs (a, b) of first lines whose token sets reach the similarity. Only lines named in a pair are hashed again."""
+    ends = [F.struct(*[F.col(f"{s}.{c}") for c in ("node", "doc_id", "line_no")]).alias(s) for s in "ab"]
+    pairs = stored(pairs.select(*ends).distinct(), "line-pairs")
+    places = pairs.select("a.doc_id", "a.line_no").union(pairs.select("b.doc_id", "b.line_no")).distinct()
     wanted = places.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    sets = stored(_sets(texts, table, least, "wanted").select("node", "keys").dropDuplicates(["node"]), "line-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a_node"), F.col("keys").alias("a_keys")), "a_node").join(sets.select(F.col("node").alias("b_node"), F.col("keys").alias("b_keys")), "b_node")
+    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    sets = stored(texts.mapInArrow(_key_rows(levels, least), "node long, keys array<long>").dropDuplicates(["node"]), "line-sets")
+    both = pairs.select(F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node"))
+    for side in "ab":
+        both = both.join(sets.select(F.col("node").alias(f"{side}_node"), F.col("keys").alias(f"{side}_keys")), f"{side}_node")
     shared = F.size(F.array_intersect("a_keys", "b_keys"))
     return both.where(100 * shared >= percent * (F.size("a_keys") + F.size("b_keys") - shared)).select(F.col("b_node").alias("node")).distinct()
 
@@ -119,41 +171,44 @@ def removed_lines(docs: DataFrame, percent: int = 80, least: int = 5, hot: int =
 
     A line goes when an earlier line, by (doc_id, line number), has the same set of words or one whose Jaccard
     similarity is at least percent / 100, whether or not that line itself goes. Lines of fewer than `least`
-    distinct words never match.
+    distinct words never match. A set takes part with its first line only: its later lines go anyway.
 
-    Words are ordered by rarity, counted over all lines. Tokens of at most `hot` lines join as they are, at most
-    hot squared pairs each before the filters. Rows of more frequent tokens, few since prefixes hold the rarest,
-    first meet only the earliest line of their token and salt; those that match it are settled, and only the
-    rest look at all lines before them, so a large group of similar lines never meets pairwise.
+    Words are ordered by rarity, counted over all texts. Each line first meets the earliest line of its length
+    under each of its three rarest shared tokens; those that match it are settled, and only the rest look at all
+    lines before them that share a token of the prefix. So a large group of similar lines never meets pairwise.
+    Under tokens of more than `hot` words the earliest line is taken in each of `salts` parts.
 
     Null texts are one empty line; rows with a null doc_id are not in the result; rows that repeat a doc_id are one document:
     their lines share numbers and decisions, and n_lines is the most of them. Other columns are not read. An
-    empty table gives no rows.
+    empty table gives no rows. Tokens and sets are 64-bit hashes.
     """
-    docs = docs.select("doc_id", "text")
-    table = stored(rarity(docs), "rarity")
-    lines = stored(_with_prefixes(_sets(docs, table, least), percent), "lines")
-    firsts = stored(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "first-lines")
-    prefixes = _prefixes(lines)
-    top = 1 + int(LEVELS * (hot.bit_length() - 1))
-    cold = prefixes.where(_level(F.col("token")) <= top)
-    near = F.expr("a.token = b.token AND a.node <> b.node") & _earlier("a", "b") & _may_match("a", "b", percent)
-    pairs = cold.alias("a").join(cold.alias("b"), near).select(*_pair_columns())
-    seen = stored(_verified(pairs, firsts, docs, table, least, percent), "similar-lines")
-    common = prefixes.where(_level(F.col("token")) > top).groupBy("token", "pos", "node", "n", "parity").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    common = stored(common.select("token", "pos", "node", "n", "parity", "at.doc_id", "at.line_no"), "common-prefixes")
-    if not common.isEmpty():
-        salted = Window.partitionBy("token", F.pmod(F.xxhash64("node"), F.lit(salts))).orderBy("doc_id", "line_no")
-        head = common.withColumn("a", F.first(F.struct("node", "doc_id", "line_no", "n", "pos", "parity")).over(salted)).select("a", F.struct("node", "doc_id", "line_no", "n", "pos", "parity").alias("b"))
-        pairs = head.where((F.col("a.node") != F.col("b.node")) & _may_match("a", "b", percent)).select(*_pair_columns())
-        seen = stored(seen.union(_verified(pairs, firsts, docs, table, least, percent)).distinct(), "similar-lines")
-        open_rows = common.join(seen, "node", "left_anti")
-        pairs = common.alias("a").join(open_rows.alias("b"), near).select(*_pair_columns())
-        seen = stored(seen.union(_verified(pairs, firsts, docs, table, least, percent)).distinct(), "similar-lines")
-    later = lines.join(firsts, "node").where(F.struct("doc_id", "line_no") > F.col("first")).select("doc_id", "line_no")
-    similar = firsts.join(seen, "node").select("first.doc_id", "first.line_no")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    levels = bytes(rarity(docs).first().levels)  # BUCKETS bytes, whatever the corpus is
+    lines = stored(docs.mapInArrow(_line_rows(levels, least, percent), "doc_id long, line_no int, node long, n int, parity long, prefix array<long>"), "lines")
+    firsts = stored(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("x")).select("node", "x.*"), "first-lines")
+
+    near = F.col("node"), F.col("doc_id"), F.col("line_no"), F.col("n"), F.col("parity")
+    rare = firsts.select(*near, F.explode(F.slice(F.filter("prefix", lambda t: _level(t) > 1), 1, 3)).alias("token"))  # level 1: one word in all texts
+    part = F.when(_level(F.col("token")) > 1 + LEVELS * (hot.bit_length() - 1), F.pmod(F.xxhash64("node"), F.lit(salts))).otherwise(0)
+    earliest = F.first(F.struct(*near)).over(Window.partitionBy("token", part, "n").orderBy("doc_id", "line_no"))
+    heads = rare.select(earliest.alias("a"), F.struct(*near).alias("b")).where((F.col("a.node") != F.col("b.node")) & _similar_sizes(percent))
+    seen = stored(_verified(heads, docs, levels, least, percent), "settled-lines")
+
+    def prefixes(of: DataFrame) -> DataFrame:
+        return of.select(*near, F.posexplode("prefix").alias("pos", "token")).where(_level(F.col("token")) > 1)
+
+    a, b = prefixes(firsts).alias("a"), prefixes(firsts.join(seen, "node", "left_anti")).alias("b")
+    before = F.struct("a.doc_id", "a.line_no") < F.struct("b.doc_id", "b.line_no")
+    pairs = a.join(b, F.expr("a.token = b.token AND a.node <> b.node") & before & _similar_sizes(percent) & _similar_places(percent))
+    pairs = pairs.select(*[F.struct(*[f"{s}.{c}" for c in ("node", "doc_id", "line_no")]).alias(s) for s in "ab"])
+    seen = stored(seen.union(_verified(pairs, docs, levels, least, percent)).distinct(), "similar-lines")
+
+    first = firsts.select("node", F.struct("doc_id", "line_no").alias("first"))
+    later = lines.select("node", "doc_id", "line_no").join(first, "node").where(F.struct("doc_id", "line_no") > F.col("first")).select("doc_id", "line_no")
+    similar = first.join(seen, "node").select("first.doc_id", "first.line_no")
     gone = later.union(similar).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    counts = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("n_lines"))
+    text = F.coalesce("text", F.lit(""))
+    counts = docs.groupBy("doc_id").agg(F.max(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
     return counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
