@@ -128,8 +128,8 @@ def _key_rows(levels: bytes, least: int) -> Callable:
     table = np.frombuffer(levels, np.uint8).astype(U64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, n, key in _blocks(batches, table, least):
-            yield pa.RecordBatch.from_arrays([_nodes(key, _starts(n)), _lists(key, n)], ["node", "keys"])
+        for ids, nos, n, key in _blocks(batches, table, least):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nos), _lists(key, n)], ["doc_id", "line_no", "keys"])
 
     return rows
 
@@ -152,18 +152,16 @@ def _similar_places(percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, levels: bytes, least: int, percent: int) -> DataFrame:
-    """The nodes b of pairs (a, b) of first lines whose token sets reach the similarity. Only lines named in a pair are hashed again."""
-    ends = [F.struct(*[F.col(f"{s}.{c}") for c in ("node", "doc_id", "line_no")]).alias(s) for s in "ab"]
-    pairs = stored(pairs.select(*ends).distinct(), "line-pairs")
-    places = pairs.select("a.doc_id", "a.line_no").union(pairs.select("b.doc_id", "b.line_no")).distinct()
+    """The lines b of pairs (a, b) of lines whose token sets reach the similarity. Only lines named in a pair are hashed again."""
+    pairs = stored(pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("doc_id", "line_no")]).distinct(), "line-pairs")
+    places = pairs.select("a_doc_id", "a_line_no").union(pairs.select("b_doc_id", "b_line_no")).toDF("doc_id", "line_no").distinct()
     wanted = places.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    sets = stored(texts.mapInArrow(_key_rows(levels, least), "node long, keys array<long>").dropDuplicates(["node"]), "line-sets")
-    both = pairs.select(F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node"))
+    both, sets = pairs, stored(texts.mapInArrow(_key_rows(levels, least), "doc_id long, line_no int, keys array<long>"), "line-sets")
     for side in "ab":
-        both = both.join(sets.select(F.col("node").alias(f"{side}_node"), F.col("keys").alias(f"{side}_keys")), f"{side}_node")
+        both = both.join(sets.toDF(f"{side}_doc_id", f"{side}_line_no", f"{side}_keys"), [f"{side}_doc_id", f"{side}_line_no"])
     shared = F.size(F.array_intersect("a_keys", "b_keys"))
-    return both.where(100 * shared >= percent * (F.size("a_keys") + F.size("b_keys") - shared)).select(F.col("b_node").alias("node")).distinct()
+    return both.where(100 * shared >= percent * (F.size("a_keys") + F.size("b_keys") - shared)).select(F.col("b_doc_id").alias("doc_id"), F.col("b_line_no").alias("line_no")).distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, least: int = 5, hot: int = 1024, salts: int = 16) -> DataFrame:
@@ -174,7 +172,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, least: int = 5, hot: int =
     distinct words never match. A set takes part with its first line only: its later lines go anyway.
 
     Words are ordered by rarity, counted over all texts. Each line first meets the earliest line of its length
-    under each of its three rarest shared tokens; those that match it are settled, and only the rest look at all
+    under each of its two rarest shared tokens; those that match it are settled, and only the rest look at all
     lines before them that share a token of the prefix. So a large group of similar lines never meets pairwise.
     Under tokens of more than `hot` words the earliest line is taken in each of `salts` parts.
 
@@ -187,26 +185,26 @@ def removed_lines(docs: DataFrame, percent: int = 80, least: int = 5, hot: int =
     lines = stored(docs.mapInArrow(_line_rows(levels, least, percent), "doc_id long, line_no int, node long, n int, parity long, prefix array<long>"), "lines")
     firsts = stored(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("x")).select("node", "x.*"), "first-lines")
 
-    near = F.col("node"), F.col("doc_id"), F.col("line_no"), F.col("n"), F.col("parity")
-    rare = firsts.select(*near, F.explode(F.slice(F.filter("prefix", lambda t: _level(t) > 1), 1, 3)).alias("token"))  # level 1: one word in all texts
-    part = F.when(_level(F.col("token")) > 1 + LEVELS * (hot.bit_length() - 1), F.pmod(F.xxhash64("node"), F.lit(salts))).otherwise(0)
-    earliest = F.first(F.struct(*near)).over(Window.partitionBy("token", part, "n").orderBy("doc_id", "line_no"))
-    heads = rare.select(earliest.alias("a"), F.struct(*near).alias("b")).where((F.col("a.node") != F.col("b.node")) & _similar_sizes(percent))
+    line = ["doc_id", "line_no", "n", "parity"]
+    rare = firsts.select(*line, F.explode(F.slice(F.filter("prefix", lambda t: _level(t) > 1), 1, 2)).alias("token"))  # level 1: one word in all texts
+    part = F.when(_level(F.col("token")) > 1 + LEVELS * (hot.bit_length() - 1), F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts))).otherwise(0)
+    earliest = F.first(F.struct(*line)).over(Window.partitionBy("token", part, "n").orderBy("doc_id", "line_no"))
+    before = F.struct("a.doc_id", "a.line_no") < F.struct("b.doc_id", "b.line_no")
+    heads = rare.select(earliest.alias("a"), F.struct(*line).alias("b")).where(before & _similar_sizes(percent))
     seen = stored(_verified(heads, docs, levels, least, percent), "settled-lines")
 
-    def prefixes(of: DataFrame) -> DataFrame:
-        return of.select(*near, F.posexplode("prefix").alias("pos", "token")).where(_level(F.col("token")) > 1)
-
-    a, b = prefixes(firsts).alias("a"), prefixes(firsts.join(seen, "node", "left_anti")).alias("b")
-    before = F.struct("a.doc_id", "a.line_no") < F.struct("b.doc_id", "b.line_no")
-    pairs = a.join(b, F.expr("a.token = b.token AND a.node <> b.node") & before & _similar_sizes(percent) & _similar_places(percent))
-    pairs = pairs.select(*[F.struct(*[f"{s}.{c}" for c in ("node", "doc_id", "line_no")]).alias(s) for s in "ab"])
+    flagged = firsts.join(seen.withColumn("settled", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    flagged = stored(flagged.select(*line, "prefix", "settled"), "flagged-lines")
+    prefixes = flagged.select(*line, "settled", F.posexplode("prefix").alias("pos", "token")).where(_level(F.col("token")) > 1)
+    # both sides stay one plan, so that they are shuffled once; a condition on b alone would move below the shuffle
+    open_b = F.expr("NOT b.settled OR (a.settled AND a.doc_id > b.doc_id)")
+    pairs = prefixes.alias("a").join(prefixes.alias("b"), F.expr("a.token = b.token") & open_b & before & _similar_sizes(percent) & _similar_places(percent))
+    pairs = pairs.select(*[F.struct(f"{s}.doc_id", f"{s}.line_no").alias(s) for s in "ab"])
     seen = stored(seen.union(_verified(pairs, docs, levels, least, percent)).distinct(), "similar-lines")
 
     first = firsts.select("node", F.struct("doc_id", "line_no").alias("first"))
     later = lines.select("node", "doc_id", "line_no").join(first, "node").where(F.struct("doc_id", "line_no") > F.col("first")).select("doc_id", "line_no")
-    similar = first.join(seen, "node").select("first.doc_id", "first.line_no")
-    gone = later.union(similar).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    gone = later.union(seen).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     text = F.coalesce("text", F.lit(""))
     counts = docs.groupBy("doc_id").agg(F.max(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
     return counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
