@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rules import LATIN
+from ..operators import curation as C
 from ..operators import documents as D
 from ..operators import events as E
 from ..operators import metrics as M
@@ -395,3 +396,57 @@ def model_output_parse(spark, sf_dir):
 def stream_daily(spark, sf_dir):
     events = _read(spark, sf_dir, "events")
     return daily_counts(spark, f"{sf_dir}/events.parquet*", events.schema)  # a pattern, since a stream takes no single file
+
+
+@query("""WITH x AS (SELECT user_id, max_by({'ts': ts, 'id': event_id, 'event_type': event_type}, {'ts': ts, 'id': event_id}) AS e FROM events GROUP BY 1),
+c AS (SELECT user_id, e.event_type AS status, e.ts AS seen_at, e.id % 3 = 0 AS hashed, e.id % 2 = 0 AS named, date_diff('day', e.ts::DATE, DATE '2024-02-02') AS age FROM x),
+r AS (SELECT user_id, CASE WHEN status = 'purchase' THEN 'resolved' WHEN age > 30 AND hashed THEN 'old_with_hash' WHEN age > 7 THEN 'outside_week'
+WHEN NOT named AND seen_at > TIMESTAMP '2024-02-02 00:00:00' - INTERVAL 24 HOUR THEN 'checked_today' ELSE 'conditional_check' END AS reason FROM c) SELECT *, reason = 'conditional_check' AS recheck FROM r""")
+def recheck_policy(spark, sf_dir):
+    last = M.latest_per_key(_read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"))
+    part = lambda n: F.when(F.col("event_id") % n == 0, F.col("event_id").cast("string"))
+    current = last.select("user_id", F.col("event_type").alias("status"), F.to_date("ts").alias("published"), F.col("ts").alias("checked_at"), part(3).alias("file_hash"), part(2).alias("validator"))
+    return C.recheck_policy(current, "2024-02-02 00:00:00", resolved=("purchase",)).select("user_id", "reason", "recheck")
+
+
+@query("SELECT event_id, user_id, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3, false) AS tripped FROM events")
+def circuit_breaker(spark, sf_dir):
+    runs = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return C.circuit_breaker(runs, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "user_id", "tripped")
+
+
+@query("""WITH l AS (SELECT *, max(ts) FILTER (event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events)
+SELECT event_id, user_id, coalesce(ts < last + INTERVAL 6 HOUR, false) AS suppressed FROM l""")
+def run_cooldown(spark, sf_dir):
+    runs = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return C.cooldown(runs, "user_id", "ts", ["ts", "event_id"], F.col("event_type") != "error", 6 * 3600).select("event_id", "user_id", "suppressed")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'purchase' AND value > 50) = 0")
+def zero_yield_sources(spark, sf_dir):
+    return C.zero_yield(_read(spark, sf_dir, "events"), "user_id", F.expr("event_type = 'purchase' AND value > 50"))
+
+
+@query("""SELECT o_orderkey, 'o_orderstatus' AS field, 'value_not_allowed' AS issue FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT o_orderkey, 'o_totalprice', 'basis_missing' FROM orders WHERE o_totalprice > 100000 AND NOT coalesce(o_orderstatus = 'F', false)""")
+def compliance_values(spark, sf_dir):
+    needs = {"o_totalprice": (F.col("o_totalprice") > 100000, F.col("o_orderstatus") == "F")}
+    return C.value_issues(_read(spark, sf_dir, "orders"), "o_orderkey", {"o_orderstatus": ("F", "O")}, needs)
+
+
+@query("""WITH p AS (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations), x AS (SELECT conv_id, turn, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM p),
+k AS (SELECT *, trim(regexp_replace(line, '[ \\t\\r\\f]+', ' ', 'g')) AS key, (line_no < 2)::INT + (line_no >= n - 2)::INT AS edges FROM x), z AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY 1),
+r AS (SELECT conv_id, key, sum(edges) AS seen FROM k WHERE edges > 0 AND length(key) BETWEEN 2 AND 120 GROUP BY 1, 2)
+SELECT conv_id, turn, line_no::INTEGER AS line_no, line, coalesce(pages >= 2 AND seen >= greatest(2, ceil(0.6 * pages)), false) AS removed FROM k JOIN z USING (conv_id) LEFT JOIN r USING (conv_id, key)""")
+def page_margins(spark, sf_dir):
+    return C.page_margins(_read(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query(f"SELECT page_id, position, href, CASE WHEN is_current THEN 'valid' ELSE 'version_mismatch' END AS status FROM ({SQL['page_links']}) JOIN ({SQL['document_versions']}) USING (page_id)")
+def evidence_invalidation(spark, sf_dir):
+    return C.invalidate(page_links(spark, sf_dir), document_versions(spark, sf_dir).where("NOT is_current"), "page_id")
+
+
+@query(f"WITH {DRAFTS}, {_GATE} SELECT event_id, CASE WHEN g.status = 'blocked' THEN 'quarantined' ELSE 'active' END AS record_state, CASE WHEN g.status = 'blocked' THEN g.issues ELSE '' END AS reasons FROM drafts JOIN gate g ON event_id = doc_id")
+def quarantine_cascade(spark, sf_dir):
+    return C.quarantine(_drafts(spark, sf_dir), quality_gate(spark, sf_dir), "event_id", "doc_id")
