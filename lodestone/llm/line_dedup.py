@@ -173,7 +173,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, least: int = 5, hot: int =
 
     Words are ordered by rarity, counted over all texts. Each line first meets the earliest line of its length
     under each of its two rarest shared tokens; those that match it are settled, and only the rest look at all
-    lines before them that share a token of the prefix. So a large group of similar lines never meets pairwise.
+    lines before them that share a token of the prefix. So lines that are all similar to
+    the earliest of their group don't meet pairwise; a group whose lines are similar to others only still does.
     Under tokens of more than `hot` words the earliest line is taken in each of `salts` parts.
 
     Null texts are one empty line; rows with a null doc_id are not in the result; rows that repeat a doc_id are one document:
@@ -196,7 +197,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, least: int = 5, hot: int =
     flagged = firsts.join(seen.withColumn("settled", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     flagged = stored(flagged.select(*line, "prefix", "settled"), "flagged-lines")
     prefixes = flagged.select(*line, "settled", F.posexplode("prefix").alias("pos", "token")).where(_level(F.col("token")) > 1)
-    # both sides stay one plan, so that they are shuffled once; a condition on b alone would move below the shuffle
+    # both sides stay one plan, so that Spark can reuse the shuffle; a condition on b alone would move below the shuffle
     open_b = F.expr("NOT b.settled OR (a.settled AND a.doc_id > b.doc_id)")
     pairs = prefixes.alias("a").join(prefixes.alias("b"), F.expr("a.token = b.token") & open_b & before & _similar_sizes(percent) & _similar_places(percent))
     pairs = pairs.select(*[F.struct(f"{s}.doc_id", f"{s}.line_no").alias(s) for s in "ab"])
