@@ -110,14 +110,15 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def _line_rows(levels: bytes, least: int, percent: int) -> Callable:
-    """prefix: the rarest n - ceil(percent * n / 100) + 1 tokens, one of which two similar lines share; parity: a bit for each of 64 cells, the parity of the tokens there."""
+    """prefix: the rarest n - ceil(percent * n / 100) + 1 tokens, one of which two similar lines share; none for sets so small that only an equal one is similar.
+    parity: a bit for each of 64 cells, the parity of the tokens there."""
     table = np.frombuffer(levels, np.uint8).astype(U64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, nos, n, key in _blocks(batches, table, least):
             start = _starts(n)
             parity = np.bitwise_xor.reduceat(U64(1) << (key & U64(63)), start[:-1]) if len(n) else np.empty(0, U64)
-            size = n + 1 - -(-n * percent // 100)
+            size = np.where(100 * n < percent * (n + 1), 0, n + 1 - -(-n * percent // 100))
             prefix = key[np.arange(len(key)) - np.repeat(start[:-1], n) < np.repeat(size, n)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nos), _nodes(key, start), pa.array(n.astype(np.int32)), pa.array(signed(parity)), _lists(prefix, size)], ["doc_id", "line_no", "node", "n", "parity", "prefix"])
 

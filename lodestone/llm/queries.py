@@ -111,7 +111,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(_read(spark, sf_dir, "documents"))
+    """Every line with a word takes part."""
+    return line_dedup.removed_lines(_read(spark, sf_dir, "documents"), least=1)
 
 
 def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

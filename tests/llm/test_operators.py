@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from lodestone.llm import decontamination, exact_dedup, jaccard_join, length_buckets, line_dedup, revisits, suffix_dedup, token_packing, toxicity, url_reputation
+from lodestone.llm import decontamination, exact_dedup, jaccard_join, length_buckets, line_dedup, queries, revisits, suffix_dedup, token_packing, toxicity, url_reputation
 from lodestone.llm.common import shingles, words_of
 
 DOCS = "doc_id long, text string, kept string"  # a clashing extra column
@@ -116,6 +116,33 @@ def test_line_dedup_equals_brute_force(docs, rows, hot):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_line_dedup_takes_short_lines(spark, tmp_path, hot):
+    """Lines of one word and more, in the query, the stage of the pipeline and the operator, against brute force."""
+    rng = random.Random(11)
+    texts = ["\n".join(" ".join(words(rng, rng.randrange(7), 9)) for _ in range(6)) for _ in range(40)]
+    texts += ["Home\nabout us\n港口大雾停航\na b c d", "home\nus about\n港口大雾停航\na b c d e", "\n \n\t", None, "Home\n\nhome"]
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        lines, gone = (t or "").split("\n"), []
+        for k, line in enumerate(lines):
+            s = frozenset(words_of(line.encode()))
+            if s and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                gone.append(k)
+            seen += [s] if s else []
+        want[i] = (len(lines), gone)
+    assert want[41] == (4, [0, 1, 2, 3])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup.removed_lines(table, least=1, hot=hot).collect()} == want
+    if hot == 1024:
+        import corpus_pipeline
+
+        table.write.parquet(f"{tmp_path}/documents.parquet")
+        assert {r.doc_id: (r.n_lines, list(r.removed)) for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()} == want
+        left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, table, str(tmp_path)).collect()}
+        assert all(left[i] == (t if not want[i][1] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i][1])) for i, t in enumerate(texts))
+
+
 def test_repeated_passages_equal_brute_force(docs, rows):
     n, count, windows = 50, {}, {}
     for i, t, _ in rows:
