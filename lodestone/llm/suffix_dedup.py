@@ -16,67 +16,136 @@ from .common import U64, mixed, signed, stored, texts_of, window_hashes, word_ha
 PASSAGE, GRAM, REACH = 50, 8, 24
 #: A passage holds a minimiser within its first REACH k-grams, so at least so many of its words follow from there.
 SEED = PASSAGE - REACH + 1
-#: How many following suffixes each one is compared with.
+#: How many following suffixes each one is compared with; seeds with more suffixes than these meet by whole windows.
 NEAR = 2
+#: Words before and after a seed that the windows of PASSAGE words which hold it can reach.
+AROUND = PASSAGE - SEED
+HELD = 200_000  # windows that a task holds at a time, unless one text has more
 
 
-def minimisers(words: np.ndarray) -> np.ndarray:
-    """The positions that have the least k-gram hash of some REACH neighbours, the leftmost of ties: chosen by content alone."""
+def _least(words: np.ndarray) -> np.ndarray:
+    """For each run of REACH k-grams the position of the least hash in it, the leftmost of ties."""
     grams = mixed(window_hashes(words, GRAM))
     if len(grams) < REACH:
         return np.empty(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(grams, REACH).argmin(axis=1) + np.arange(len(grams) - REACH + 1)
-    return np.unique(least)
+    return np.lib.stride_tricks.sliding_window_view(grams, REACH).argmin(axis=1) + np.arange(len(grams) - REACH + 1)
+
+
+def minimisers(words: np.ndarray) -> np.ndarray:
+    """The positions that have the least k-gram hash of some REACH neighbours, the leftmost of ties: chosen by content alone."""
+    return np.unique(_least(words))
+
+
+def _contexts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each seed with the AROUND words before and after it, the ends of the text among them."""
+    edge = np.full(AROUND, U64(1))
+    return window_hashes(np.concatenate([edge, words, edge]), SEED + 2 * AROUND)[at]
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, tail, left, doc_id, pos): each retained suffix with the hash of its first SEED words and a byte
-    for each of the 8 words that follow those and of the 8 before it, the nearest first: they sort by what they share."""
+    """(seed, context, doc_id, pos): each retained suffix with the hash of its first SEED words and that of all words within reach."""
     for batch in batches:
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
         for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
             words = word_hashes(words_of(text))
             if doc_id is None or len(words) < PASSAGE:
                 continue
             at, seeds = minimisers(words), window_hashes(words, SEED)
             at = at[at < len(seeds)]
-            low = np.concatenate([np.zeros(8, U64), words & U64(255), np.zeros(8, U64)])
-            tail, left = np.zeros(len(at), U64), np.zeros(len(at), U64)
-            for i in range(8):
-                tail |= low[at + 8 + SEED + i] << U64(56 - 8 * i)
-                left |= low[at + 7 - i] << U64(56 - 8 * i)
-            for column, x in zip(out, (signed(seeds[at]), signed(tail), signed(left), np.full(len(at), doc_id, np.int64), at), strict=True):
+            for column, x in zip(out, (signed(seeds[at]), signed(_contexts(words, at)), np.full(len(at), doc_id, np.int64), at), strict=True):
                 column.append(x)
-        seed, tail, left, doc, pos = (np.concatenate(x) for x in out)
-        yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(tail), pa.array(left), pa.array(doc), pa.array(pos.astype(np.int32))], ["seed", "tail", "left", "doc_id", "pos"])
+        seed, context, doc, pos = (np.concatenate(x) for x in out)
+        yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(context), pa.array(doc), pa.array(pos.astype(np.int32))], ["seed", "context", "doc_id", "pos"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted partition, pairs of neighbours with the same seed; and its first and last suffix with no partner, with the partition's number."""
-    from pyspark import TaskContext
-
-    part, last, first = TaskContext.get().partitionId(), None, True
-    names = ["part", "seed", "tail", "left", "a", "a_pos", "b", "b_pos"]
+def _pair_rows(a: np.ndarray, a_pos: np.ndarray, b: np.ndarray, b_pos: np.ndarray) -> pa.RecordBatch:
+    """Pairs, that which stands first as a."""
+    swap = (a > b) | ((a == b) & (a_pos > b_pos))
+    columns = (np.where(swap, b, a), np.where(swap, b_pos, a_pos), np.where(swap, a, b), np.where(swap, a_pos, b_pos))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "a_pos", "b", "b_pos"])
 
-    def edge(row) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.int64()), pa.array([row[2]], pa.int64()), pa.array([row[3]], pa.int64()), pa.array([row[4]], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int32())], names)
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted partition, all pairs of suffixes of the seeds that have NEAR + 1 of them at most. Of the other
+    seeds, and of the first and last one, which may go on in other partitions, the pairs of each suffix with the first one of
+    its context; and these first ones with no partner, unless their seed has that context only."""
+
+    def whole(columns: list[np.ndarray], edge: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of whole seeds; edge: the first or last seed of the partition."""
+        seed, context, doc, pos = columns
+        fresh = np.concatenate([[True], seed[1:] != seed[:-1]])
+        new = fresh | np.concatenate([[True], context[1:] != context[:-1]])
+        group, n = np.cumsum(fresh) - 1, len(seed)
+        many = np.bincount(group)[group] > NEAR + 1 if not edge else np.ones(n, bool)
+        for step in range(1, NEAR + 1):
+            at = np.flatnonzero((seed[step:] == seed[:-step]) & ~many[step:])
+            yield _pair_rows(doc[at], pos[at], doc[at + step], pos[at + step])
+        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        at = np.flatnonzero(many & ~new)
+        yield _pair_rows(doc[first[at]], pos[first[at]], doc[at], pos[at])
+        open_ = many & new & (edge | (np.bincount(group, weights=new)[group] > 1))
+        none = pa.nulls(int(open_.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[open_]), pa.array(pos[open_]), none.cast(pa.int64()), none.cast(pa.int32())], ["a", "a_pos", "b", "b_pos"])
+
+    held: list[list[np.ndarray]] = []  # rows of the last seed so far
+    first = True
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [c.to_numpy() for c in batch.columns]
-        if last:
-            columns = [np.concatenate([np.array([x], y.dtype), y]) for x, y in zip(last, columns, strict=True)]
-        if first:
-            yield edge([int(c[0]) for c in columns])
-            first = False
-        last = [int(c[-1]) for c in columns]
-        seed, tail, left, doc, pos = columns
-        for step in range(1, NEAR + 1):
-            same = seed[step:] == seed[:-step]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(same.sum()), part, np.int32)), *[pa.array(x[same]) for x in (seed[step:], tail[step:], left[step:], doc[:-step], pos[:-step], doc[step:], pos[step:])]], names)
-    if last:
-        yield edge(last)
+        turns = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+        if held and held[-1][0][-1] != columns[0][0]:
+            turns = np.concatenate([[0], turns])
+        if not len(turns):
+            held.append(columns)
+            continue
+        head, last = int(turns[0]), int(turns[-1])
+        ended = [np.concatenate(x) for x in zip(*held, [c[:head] for c in columns], strict=True)]
+        yield from whole(ended, first)
+        first = False
+        if last > head:
+            yield from whole([c[head:last] for c in columns], False)
+        held = [[c[last:] for c in columns]]
+    if held:
+        yield from whole([np.concatenate(x) for x in zip(*held, strict=True)], True)
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, start, b, b_pos): the windows of PASSAGE words whose first minimiser is one of the given positions. For a
+    block of documents each window once, where it stands first, with b null; where it stands again (b, b_pos) is that first place.
+    Of windows that repeat the same run one after the other only the first is a row."""
+
+    def block() -> pa.RecordBatch:
+        key, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((start, doc, key))
+        key, doc, start = key[order], doc[order], start[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        again = np.flatnonzero(~new)
+        again = again[np.lexsort((start[again], doc[again]))]
+        a = first[again]
+        if len(again):
+            on = (doc[again][1:] == doc[again][:-1]) & (start[again][1:] == start[again][:-1] + 1) & (doc[a][1:] == doc[a][:-1]) & (start[a][1:] == start[a][:-1] + 1)
+            keep = np.concatenate([[True], ~on])
+            again, a = again[keep], a[keep]
+        at, b = np.concatenate([np.flatnonzero(new), again]), np.concatenate([np.zeros(int(new.sum()), np.int64), a])
+        none = np.arange(len(at)) < new.sum()
+        return pa.RecordBatch.from_arrays([pa.array(signed(key[at])), pa.array(doc[at]), pa.array(start[at].astype(np.int32)), pa.array(doc[b], mask=none), pa.array(start[b].astype(np.int32), mask=none)], ["key", "doc_id", "start", "b", "b_pos"])
+
+    held, n = [], 0
+    for batch in batches:
+        for doc_id, text, wanted in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2), strict=True):
+            words = word_hashes(words_of(text))
+            windows = window_hashes(words, PASSAGE)
+            start = np.flatnonzero(np.isin(_least(words)[: len(windows)], wanted.values.to_numpy()))
+            if len(start):
+                held.append((windows[start], np.full(len(start), doc_id, np.int64), start))
+                n += len(start)
+            if n > HELD:
+                yield block()
+                held, n = [], 0
+    if held:
+        yield block()
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +184,14 @@ def _united(spans, out):
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, n_repeated, spans, later): for each document with a passage of at least 50 words that stands elsewhere
     too, in it or in another: the words covered, their spans [start, end) in words, and of these the spans that
-    repeat what stands before them in the order of the suffixes (documents, then positions).
+    repeat what stands before them in the order of documents, then positions.
 
     A-Z are lower-cased; words are [^\\x20\\x09-\\x0D]+. The retained suffixes are sorted by range over their first 27
-    words, the words after and before these, document and position, so copies of one passage, however many, spread over partitions; each is
-    compared with its neighbours only, the last of a partition with the first of the next. Pairs of one diagonal are one row, and their matches
+    words, a hash of the 23 words on either side too, document and position, so copies of one passage, however many,
+    spread over partitions. The suffixes of a seed that has three at most are all compared. Of other seeds, however
+    frequent, each suffix is compared with the first one that has the same words on either side, and these first ones
+    meet by each 50-word window whose first minimiser is theirs, each window with the first place where it stands. So
+    every repeated window is found. Pairs of one diagonal are one row, and their matches
     are extended left and right in the whole texts.
 
     Null texts count as empty; rows with a null doc_id and texts of fewer than 50 words have no passages and no
@@ -127,15 +199,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     are not read. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(docs.mapInArrow(_suffix_rows, "seed long, tail long, left long, doc_id long, pos int"), "suffixes")
-    order = ["seed", "tail", "left", "doc_id", "pos"]
+    rows = stored(docs.mapInArrow(_suffix_rows, "seed long, context long, doc_id long, pos int"), "suffixes")
+    order = ["seed", "context", "doc_id", "pos"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = stored(ranged.mapInArrow(_neighbours, "part int, seed long, tail long, left long, a long, a_pos int, b long, b_pos int"), "suffix-neighbours")
-    by_part = Window.orderBy("part")  # two rows a partition
-    ends = found.where("b IS NULL").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("seed", "tail", "left", "a", "a_pos"))).alias("ends"))
-    ends = ends.select("part", F.element_at("ends", 1).alias("head"), F.element_at("ends", -1).alias("foot")).withColumn("before", F.lag("foot").over(by_part)).where("before.seed = head.seed")
-    pairs = found.where("b IS NOT NULL").select("a", "a_pos", "b", "b_pos").unionByName(ends.select(F.col("before.a").alias("a"), F.col("before.a_pos").alias("a_pos"), F.col("head.a").alias("b"), F.col("head.a_pos").alias("b_pos")))
+    found = stored(ranged.mapInArrow(_neighbours, "a long, a_pos int, b long, b_pos int"), "suffix-neighbours")
+    wanted = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.collect_set("a_pos").alias("wanted"))
+    held = docs.join(wanted, docs.doc_id == wanted.id).dropDuplicates(["doc_id"]).select("doc_id", "text", "wanted")
+    windows = held.mapInArrow(_window_rows, "key long, doc_id long, start int, b long, b_pos int")
+    first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("key", "b", "b_pos"))  # the blocks' first places, with b null, meet
+    again = windows.withColumn("first", first).select(F.coalesce("b", "first.doc_id").alias("a"), F.coalesce("b_pos", "first.start").alias("a_pos"), F.col("doc_id").alias("b"), F.col("start").alias("b_pos"))
+    pairs = found.where("b IS NOT NULL").unionByName(again)
     pairs = pairs.where("a <> b OR a_pos <> b_pos").groupBy("a", "b", (F.col("b_pos") - F.col("a_pos")).alias("shift")).agg(F.sort_array(F.collect_set("a_pos")).alias("at"))
     pairs = stored(pairs, "diagonals")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()

@@ -162,6 +162,32 @@ def test_repeated_passages_equal_brute_force(docs, rows):
     assert all(got[i] <= want[i] for i in got)
 
 
+def test_passages_that_hold_a_frequent_line(spark):
+    """Passages of 50 words and more around a line that many documents share: every window, and which of them stood before."""
+    rng, line = random.Random(13), [f"line{i}" for i in range(35)]
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [own(30) + line + own(30) for _ in range(150)]
+    for _ in range(40):
+        left, right = own(rng.randrange(24)), own(rng.randrange(24))
+        texts += [own(30) + left + line + right + own(30) for _ in range(rng.randrange(2, 4))]
+    texts += [line + line + line, line + own(15), own(15) + line, line[:30] + own(20) + line]
+    rng.shuffle(texts)
+    places, want = {}, {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            places.setdefault(tuple(t[k : k + 50]), []).append((i, k))
+    for at in places.values():
+        for nth, (i, k) in enumerate(at):
+            if len(at) > 1:
+                every, later = want.setdefault(i, (set(), set()))
+                every |= set(range(k, k + 50))
+                later |= set(range(k, k + 50)) if nth else set()
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    cover = lambda spans: {p for s in spans for p in range(s.start, s.end)}
+    got = {r.doc_id: (cover(r.spans), cover(r.later)) for r in suffix_dedup.repeated_passages(table).collect()}
+    assert got == want
+
+
 def test_greedy_tiles_take_the_longest_first():
     item, doc = "a b c d e f g h i j".split(), "x f g h i j y a b c d e z a b c".split()
     pairs = [(i, j) for i in range(len(doc) - 2) for j in range(len(item) - 2) if doc[i : i + 3] == item[j : j + 3]]
