@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -54,18 +59,60 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def locate_quotes(quotes: DataFrame, documents: DataFrame) -> DataFrame:
+#: Characters without white space: the grams that documents and quotes meet by; how many grams compete for each; the least quote that holds so many.
+GRAM, REACH = 12, 13
+SEEDED = GRAM + REACH - 1
+
+
+def _least_grams(text: str) -> np.ndarray:
+    """For each run of REACH grams the least of their hashes: a text that holds another one has all of its."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(c) - GRAM + 1
+    if n < REACH:
+        return np.empty(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        h = h * np.uint64(0xD6E8FEB86659FD93) + c[i : i + n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return np.lib.stride_tricks.sliding_window_view(h, REACH).min(axis=1).view(np.int64)
+
+
+def _gram_rows(every: bool) -> Callable:
+    """The columns but the last, and each distinct least gram of that or, unless every, the first one."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_least_grams(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [np.unique(g) if every else g[:1] for g in found]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(g) for g in found]))
+            grams = pa.array(np.concatenate([np.empty(0, np.int64), *found]))
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:-1]], grams], [*batch.schema.names[:-1], "gram"])
+
+    return rows
+
+
+def locate_quotes(quotes: DataFrame, documents: DataFrame, block: int = 1000) -> DataFrame:
     """(item_id, doc_id, start_offset, end_offset, method) of quotes that stand in a document as they are, or but for white space.
 
-    quotes: (item_id, text), a stated set. Documents and quotes meet on the rarest-looking (largest) hash of the
-    quote's word 5-grams, so only documents that hold it are searched.
+    quotes: (item_id, text), a stated set; those of fewer than 4 characters without white space are not looked for.
+    Documents and quotes meet on hashes of 12 characters without white space, the least of 13 neighbours, so only documents
+    that hold the one of the quote's begin are searched. Quotes of fewer than 24 such characters are broadcast in
+    blocks of about `block` and looked for in each document.
     """
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, F.lit(5)), " ")))
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    seeds = quotes.where("length(regexp_replace(text, '\\\\s+', '')) >= 4").select("item_id", F.col("text").alias("quote"), F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1))).alias("w")).select("item_id", "quote", F.array_max(grams(F.col("w"))).alias("gram"))
-    rows = documents.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("gram"))
-    pairs = rows.join(seeds, "gram").select("doc_id", "item_id", "quote").distinct()
-    both = pairs.join(documents.select("doc_id", "text"), "doc_id")
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    wanted = quotes.select("item_id", F.col("text").alias("quote"), bare("text").alias("bare")).where("length(bare) >= 4")
+    rows = documents.select("doc_id", bare("text").alias("bare"))
+    with_gram = lambda df: StructType([*df.schema.fields[:-1]]).add("gram", LongType())
+    seeds, short = wanted.where(F.length("bare") >= SEEDED), wanted.where(F.length("bare") < SEEDED)
+    pairs = rows.mapInArrow(_gram_rows(True), with_gram(rows)).join(seeds.mapInArrow(_gram_rows(False), with_gram(seeds)), "gram").select("doc_id", "item_id", "quote")
+    n = short.count()
+    blocks = n // block + 1 if n else 0
+    for i in range(blocks):
+        one = short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == i).agg(F.collect_list(F.struct("item_id", "quote", "bare")).alias("qs"))
+        held = rows.crossJoin(F.broadcast(one)).select("doc_id", F.explode(F.filter("qs", lambda q: F.contains(F.col("bare"), q["bare"]))).alias("q"))
+        pairs = pairs.unionByName(held.select("doc_id", "q.item_id", "q.quote"))
+    both = pairs.distinct().join(documents.select("doc_id", "text"), "doc_id")
     both = both.withColumn("at", F.expr("locate(quote, text)")).withColumn("squeezed", F.expr("locate(regexp_replace(quote, '\\\\s+', ''), regexp_replace(text, '\\\\s+', ''))"))
     exact = F.col("at") > 0
     return both.where((F.col("at") > 0) | (F.col("squeezed") > 0)).select("item_id", "doc_id", F.when(exact, F.col("at") - 1).alias("start_offset"), F.when(exact, F.col("at") - 1 + F.length("quote")).alias("end_offset"), F.when(exact, "exact").otherwise("whitespace_only").alias("method"))
