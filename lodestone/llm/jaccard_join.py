@@ -86,9 +86,10 @@ def _signatures(sets: list[np.ndarray], window: Window2, number: int, upper: boo
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, a, b): each signature once for a block of documents with b null, and for its other documents there b, the first one."""
-    plan, edge = windows(1 << 20), np.array(bands(1 << 20))
 
     def block(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        most = max(map(len, sets))  # an edge depends only on those before it, so the blocks' bands agree
+        plan, edge = windows(most), np.array(bands(most))
         band = np.searchsorted(edge, [len(s) for s in sets], "right") - 1
         sigs, docs = [np.empty(0, U64)], [np.empty(0, np.int64)]
         for b in np.unique(band).tolist():

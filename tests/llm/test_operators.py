@@ -94,6 +94,22 @@ def test_windows_cover_all_pairs_of_sizes():
             assert ka >= k and kb >= k and max(ka, kb) // 2 + 1 + 2 * plan[i].drop <= plan[i].n1
 
 
+def test_signatures_of_very_long_texts():
+    """Sets of more than 1,122,241 shingles have signatures, the same ones in any block, and near copies share some."""
+    import pyarrow as pa
+
+    long = [b"%x" % i for i in range(1_130_000)]
+    near = long[:500_000] + [b"other"] + long[500_001:]
+    got = []
+    for texts in ([b" ".join(long)], [b"a b c", b" ".join(near)]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+        got += [{s for r in jaccard_join._signature_rows(iter([batch])) for s in r.column(0).to_pylist()}]
+    assert got[0] & got[1]
+    for most in (1, 2, 5, 63, 64, 3000):
+        assert len(jaccard_join.windows(most)) > np.searchsorted(jaccard_join.bands(most), most, "right") - 1
+        assert jaccard_join.windows(most) == jaccard_join.windows(1 << 20)[: len(jaccard_join.windows(most))]
+
+
 @pytest.mark.parametrize("hot", [2, 1024])
 def test_line_dedup_equals_brute_force(docs, rows, hot):
     seen, want = [], {}
