@@ -25,6 +25,23 @@ def histogram(lengths: DataFrame, exact_to: int = 1024, steps: int = 128) -> Dat
     return lengths.groupBy(rank.cast("long").alias("top")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("total"))
 
 
+def _next_row(best: np.ndarray, seen: np.ndarray, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least best[i] + cost(i, j) over i < j for each j, and the first such i: it never decreases with j, so halves bound each other."""
+    out, came = np.full(len(seen), np.inf), np.zeros(len(seen), np.int64)
+    todo = [(1, len(seen) - 1, 0, len(seen) - 2)]
+    while todo:
+        low, high, a, b = todo.pop()
+        if low > high:
+            continue
+        j = (low + high) // 2
+        end = min(b, j - 1) + 1
+        total = best[a:end] + (seen[j] - seen[a:end]) * longest[j - 1]
+        i = a + int(total.argmin())
+        out[j], came[j] = total[i - a], i
+        todo += [(low, j - 1, a, i), (j + 1, high, i, b)]
+    return out, came
+
+
 def optimal_boundaries(longest: np.ndarray, n: np.ndarray, buckets: int) -> list[int]:
     """At most so many bucket lengths, each the longest of some bin, with the least padding: exact dynamic programming.
 
@@ -36,14 +53,9 @@ def optimal_boundaries(longest: np.ndarray, n: np.ndarray, buckets: int) -> list
     seen = np.concatenate([[0], np.cumsum(n)]).astype(float)
     best, came, ends = np.full(m + 1, np.inf), [], []
     best[0] = 0
-    rows, cols = np.arange(m + 1)[:, None], np.arange(m + 1)[None, :]
-    cost = np.where(rows < cols, (seen[None, :] - seen[:, None]) * np.concatenate([[0], longest])[None, :], np.inf)
     for _ in range(min(buckets, m)):
-        total = best[:, None] + cost
-        came.append(total.argmin(axis=0))
-        best = total.min(axis=0)
-        best[0] = np.inf
-        came[-1][0] = 0
+        best, at = _next_row(best, seen, longest)
+        came.append(at)
         ends.append(best[m])
     k, at, out = int(np.argmin(ends)), m, []
     while at > 0:
@@ -68,9 +80,6 @@ def length_buckets(docs: DataFrame, buckets: int = 16, budget: int = 32768, leng
     lengths = docs.select("doc_id", count.alias("n_tokens"))
     bins = sorted(histogram(lengths).collect())  # bounded: see histogram
     longest, n = np.array([b.longest for b in bins]), np.array([b.n for b in bins])
-    if len(bins) > 1500:  # keep the table of costs small: join neighbours, which keeps each one's longest and count
-        group = np.arange(len(bins)) * 1500 // len(bins)
-        longest, n = np.array([longest[group == g].max() for g in range(1500)]), np.array([n[group == g].sum() for g in range(1500)])
     bounds = optimal_boundaries(longest, n, buckets)
     bucket, shards, low = F.lit(None).cast("long"), F.lit(1), -1
     for top in bounds[::-1]:

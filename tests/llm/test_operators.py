@@ -267,6 +267,27 @@ def test_boundaries_are_optimal():
     assert length_buckets.optimal_boundaries(np.array([]), np.array([]), 3) == []
 
 
+def test_boundaries_of_many_bins_equal_the_whole_table_of_costs(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    for m, k in ((1, 3), (7, 9), (90, 5), (200, 16)):
+        longest, n = np.sort(rng.choice(5000, m, replace=False)), rng.integers(1, 1 + rng.integers(1, 900), m)
+        seen, best = np.concatenate([[0], np.cumsum(n)]), [0.0] + [np.inf] * m
+        for _ in range(k):
+            best = [0.0] + [min(best[j], min(best[i] + (seen[j] - seen[i]) * longest[j - 1] for i in range(j))) for j in range(1, m + 1)]
+        bounds = np.array(length_buckets.optimal_boundaries(longest, n, k))
+        assert len(bounds) <= k and (n * bounds[np.searchsorted(bounds, longest)]).sum() == best[m]
+    m, short = 9217, 501  # the most bins there are
+    n = np.ones(m, int)
+    n[short] = 10**6
+    assert short in length_buckets.optimal_boundaries(np.arange(m), n, 2)
+    lengths = [*range(1025), *{int(1024 * 2 ** (i / 128)) for i in range(1, 640)}]
+    short = next(i for i in range(500, 999) if i * 1500 // len(lengths) == (i + 1) * 1500 // len(lengths))
+    table = spark.createDataFrame([(i, x) for i, x in enumerate([*lengths, *[short] * 200_000])], "doc_id long, x long")
+    assert length_buckets.length_buckets(table, buckets=2, length=F.col("x")).where(F.col("x") == short).select("bucket_length").distinct().collect() == [(short,)]
+
+
 def test_batches_keep_their_budget(docs, rows):
     got = length_buckets.length_buckets(docs, buckets=4, budget=500, shard_rows=10).collect()
     assert len(got) == len(rows) and all(r.n_tokens <= r.bucket_length for r in got)
