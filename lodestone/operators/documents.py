@@ -49,22 +49,47 @@ def secret_scan(documents: DataFrame) -> DataFrame:
     return documents.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(found)).alias("x")).select("doc_id", "x.kind", "x.value")
 
 
-def chunks(documents: DataFrame, size: int = 650, overlap: int = 100) -> DataFrame:
-    """(doc_id, chunk_index, chunk_text): sentences packed up to `size` characters, each chunk starting with what ends the last within `overlap`.
-
-    A fold over the sentences of one text; sentences longer than `size` are chunks of their own.
+def _units(text, size: int):
+    """The sentences of a text, each with one space after it where white space followed; those longer than size by clauses, and clauses by size."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"[ \t\u3000\r]+", " "), r" ?\n\s*", "\n")
+    marked = F.split(clean, r"(?<=[。！？!?；;])(?=\S)|(?<=[.。！？!?；;]\s)(?=\S)|(?<=\n)")
+    sentences = F.filter(F.transform(marked, lambda s: F.regexp_replace(s, "\n", " ")), lambda s: F.trim(s) != "")
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.length(c) - 1) / size).cast("int")), lambda i: F.substr(c, i * size + 1, F.lit(size)))
+    clauses = lambda s: F.flatten(F.transform(F.filter(F.split(s, "(?<=[，,:：、])"), lambda c: c != ""), lambda c: F.when(F.length(c) <= size, F.array(c)).otherwise(cut(c))))
+    return F.flatten(F.transform(sentences, lambda s: F.when(F.length(F.rtrim(s)) <= size, F.array(s)).otherwise(clauses(s))))
+
+
+def chunks(documents: DataFrame, size: int = 650, overlap: int = 100, least: int = 120) -> DataFrame:
+    """(doc_id, chunk_index, chunk_text): sentences packed up to `size` characters, each chunk starting with the sentences that end the last
+    within `overlap`, one at least, unless size + overlap would be exceeded: no chunk is longer than that.
+
+    A fold over the units of one text. Sentences end after their mark, with or without white space, and at line breaks; longer ones
+    than `size` are packed by clauses, and these cut at `size`. A last chunk under `least` characters joins the one before where it fits.
     """
-    sentences = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?。！？；;])\s+|\n+"), lambda s: F.trim(s) != "")
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit("").alias("last"))
-
-    def step(acc, s):
-        joined = F.concat(acc["open"], F.when(acc["open"] == "", F.lit("")).otherwise(F.lit(" ")), s)
-        full = (acc["open"] != "") & (F.length(joined) > size)
-        lead = F.when((F.length(acc["last"]) <= overlap) & (F.length(acc["last"]) + F.length(s) + 1 <= size), F.concat(acc["last"], F.lit(" "), s)).otherwise(s)
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(full, lead).otherwise(joined).alias("open"), s.alias("last"))
-
-    packed = F.aggregate(sentences, empty, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    return documents.select("doc_id", F.posexplode(packed).alias("chunk_index", "chunk_text"))
+    strings = F.array().cast("array<string>")
+    whole = lambda units: F.array_join(units, "")
+    size_of = lambda text: F.length(F.rtrim(text))
+
+    def back(acc, u):
+        out = acc["stop"] | ((F.size(acc["kept"]) > 0) & (acc["used"] + F.length(u) > overlap))
+        used = F.when(out, acc["used"]).otherwise(acc["used"] + F.length(u))
+        return F.struct(F.when(out, acc["kept"]).otherwise(F.concat(F.array(u), acc["kept"])).alias("kept"), used.alias("used"), (out | (used >= overlap)).alias("stop"))
+
+    def step(acc, u):
+        full = (F.size(acc["open"]) > 0) & (size_of(F.concat(whole(acc["open"]), u)) > size)
+        tail = F.aggregate(F.reverse(acc["open"]), F.struct(strings.alias("kept"), F.lit(0).alias("used"), F.lit(overlap <= 0).alias("stop")), back, lambda x: x["kept"])
+        lead = F.when(size_of(F.concat(whole(tail), u)) > size + overlap, F.array(u)).otherwise(F.concat(tail, F.array(u)))
+        done = F.when(full, F.concat(acc["done"], F.array(whole(acc["open"])))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(full, lead).otherwise(F.concat(acc["open"], F.array(u))).alias("open"))
+
+    def end(acc):
+        last, before = whole(acc["open"]), F.try_element_at(acc["done"], F.lit(-1))
+        joins = (F.size(acc["done"]) > 0) & (size_of(last) < least) & (size_of(F.concat(before, last)) <= size + overlap)
+        joined = F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(F.concat(before, last)))
+        return F.when(F.size(acc["open"]) == 0, acc["done"]).when(joins, joined).otherwise(F.concat(acc["done"], F.array(last)))
+
+    packed = F.aggregate(_units(F.coalesce("text", F.lit("")), size), F.struct(strings.alias("done"), strings.alias("open")), step, end)
+    return documents.select("doc_id", F.posexplode(F.transform(packed, lambda c: F.trim(c))).alias("chunk_index", "chunk_text"))
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
