@@ -67,8 +67,8 @@ def _pair_rows(a: np.ndarray, a_pos: np.ndarray, b: np.ndarray, b_pos: np.ndarra
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a sorted partition, all pairs of suffixes of the seeds that have NEAR + 1 of them at most. Of the other
-    seeds, and of the first and last one, which may go on in other partitions, the pairs of each suffix with the first one of
-    its context; and these first ones with no partner, unless their seed has that context only."""
+    seeds, and of the first and last one, which may go on in other partitions, the pairs of each suffix with the one before it
+    of its context; and the first ones of these with no partner, unless their seed has that context only."""
 
     def whole(columns: list[np.ndarray], edge: bool) -> Iterator[pa.RecordBatch]:
         """Rows of whole seeds; edge: the first or last seed of the partition."""
@@ -80,9 +80,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in range(1, NEAR + 1):
             at = np.flatnonzero((seed[step:] == seed[:-step]) & ~many[step:])
             yield _pair_rows(doc[at], pos[at], doc[at + step], pos[at + step])
-        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         at = np.flatnonzero(many & ~new)
-        yield _pair_rows(doc[first[at]], pos[first[at]], doc[at], pos[at])
+        yield _pair_rows(doc[at - 1], pos[at - 1], doc[at], pos[at])
         open_ = many & new & (edge | (np.bincount(group, weights=new)[group] > 1))
         none = pa.nulls(int(open_.sum()))
         yield pa.RecordBatch.from_arrays([pa.array(doc[open_]), pa.array(pos[open_]), none.cast(pa.int64()), none.cast(pa.int32())], ["a", "a_pos", "b", "b_pos"])
@@ -112,7 +111,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc_id, start, b, b_pos): the windows of PASSAGE words whose first minimiser is one of the given positions. For a
-    block of documents each window once, where it stands first, with b null; where it stands again (b, b_pos) is that first place.
+    block of documents each window once, where it stands first, with b null; where it stands again (b, b_pos) is the place before.
     Of windows that repeat the same run one after the other only the first is a row."""
 
     def block() -> pa.RecordBatch:
@@ -120,10 +119,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((start, doc, key))
         key, doc, start = key[order], doc[order], start[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         again = np.flatnonzero(~new)
         again = again[np.lexsort((start[again], doc[again]))]
-        a = first[again]
+        a = again - 1
         if len(again):
             on = (doc[again][1:] == doc[again][:-1]) & (start[again][1:] == start[again][:-1] + 1) & (doc[a][1:] == doc[a][:-1]) & (start[a][1:] == start[a][:-1] + 1)
             keep = np.concatenate([[True], ~on])
@@ -189,9 +187,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     A-Z are lower-cased; words are [^\\x20\\x09-\\x0D]+. The retained suffixes are sorted by range over their first 27
     words, a hash of the 23 words on either side too, document and position, so copies of one passage, however many,
     spread over partitions. The suffixes of a seed that has three at most are all compared. Of other seeds, however
-    frequent, each suffix is compared with the first one that has the same words on either side, and these first ones
-    meet by each 50-word window whose first minimiser is theirs, each window with the first place where it stands. So
-    every repeated window is found. Pairs of one diagonal are one row, and their matches
+    frequent, each suffix is compared with the one before it that has the same words on either side, and the first ones of these
+    meet by each 50-word window whose first minimiser is theirs, each window with the place where it stands before. So
+    no text is the partner of all copies, and every repeated window is found. Pairs of one diagonal are one row, and their matches
     are extended left and right in the whole texts.
 
     Null texts count as empty; rows with a null doc_id and texts of fewer than 50 words have no passages and no
@@ -207,9 +205,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     wanted = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.collect_set("a_pos").alias("wanted"))
     held = docs.join(wanted, docs.doc_id == wanted.id).dropDuplicates(["doc_id"]).select("doc_id", "text", "wanted")
     windows = held.mapInArrow(_window_rows, "key long, doc_id long, start int, b long, b_pos int")
-    first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("key", "b", "b_pos"))  # the blocks' first places, with b null, meet
-    again = windows.withColumn("first", first).select(F.coalesce("b", "first.doc_id").alias("a"), F.coalesce("b_pos", "first.start").alias("a_pos"), F.col("doc_id").alias("b"), F.col("start").alias("b_pos"))
-    pairs = found.where("b IS NOT NULL").unionByName(again)
+    before = F.lag(F.struct("doc_id", "start")).over(Window.partitionBy("key", "b", "b_pos").orderBy("doc_id", "start"))  # the blocks' first places, with b null, meet
+    again = windows.withColumn("before", before).select(F.coalesce("b", "before.doc_id").alias("a"), F.coalesce("b_pos", "before.start").alias("a_pos"), F.col("doc_id").alias("b"), F.col("start").alias("b_pos"))
+    pairs = found.where("b IS NOT NULL").unionByName(again.where("a IS NOT NULL"))
     pairs = pairs.where("a <> b OR a_pos <> b_pos").groupBy("a", "b", (F.col("b_pos") - F.col("a_pos")).alias("shift")).agg(F.sort_array(F.collect_set("a_pos")).alias("at"))
     pairs = stored(pairs, "diagonals")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
