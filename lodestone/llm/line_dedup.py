@@ -1,224 +1,197 @@
-"""Line dedup by an exact set-similarity join: Spark groups and joins, Arrow batches make the token sets."""
+"""Line dedup by an exact set-similarity join, in DataFrame operations only."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import chain
+import uuid
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import U64, signed, stored, texts_of, word_hashes, words_of
+from .common import checkpointed, kept, scratch, stored
 
-#: Buckets of the token counts and how many stand in one row while they are put together.
-BUCKETS, BLOCK = 1 << 18, 1 << 10
-LEVELS = 4  # a power of two; levels of rarity for each doubling of the count
-HELD = 500_000  # words that a task hashes at a time, unless one text has more
+#: Buckets that tokens are counted in, and how many of them stand in one row while their levels are put together.
+BUCKETS, BLOCK = 1 << 17, 1 << 9
+LEVELS = 4  # levels of rarity for each doubling of the count
+PLACE = ["doc_id", "line_no"]
+#: Bits of the table that says which lines are named in a pair; the tokens of others don't move.
+BITS = 1 << 21
 
 
-def _buckets(h: np.ndarray) -> np.ndarray:
-    return (h & U64(BUCKETS - 1)).astype(np.int64)
+def token_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, node_a, node_b, tokens) of the lines with a word: the sorted 64-bit hashes of its distinct words, and 128 bits that name the set."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    for blank in "\t\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    tokens = F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))))
+    sets = lines.select(*PLACE, tokens.alias("tokens")).where(F.size("tokens") > 0)
+    return sets.select(*PLACE, F.xxhash64("tokens").alias("node_a"), F.xxhash64(F.lit(1), "tokens").alias("node_b"), "tokens")
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n): what a task counts, at most a row for each bucket."""
-    total, held, n = np.zeros(BUCKETS, np.int64), [], 0
-    for batch in batches:
-        for text in texts_of(batch, "text"):
-            held.append(_buckets(word_hashes(words_of(text))))
-            n += len(held[-1])
-            if n > HELD:
-                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                held, n = [], 0
-    if n:
-        total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+def _listed(rows: DataFrame, index: str, value: str) -> str:
+    """The values of rows in the order of index, joined by commas; of bounded tables only."""
+    in_order = lambda key, x: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, x))), lambda r: r[x]), ",")
+    blocks = rows.groupBy(F.floor(F.col(index) / BLOCK).alias("block")).agg(in_order(index, value).alias("part"))
+    return blocks.agg(in_order("block", "part")).first()[0]
 
 
-def rarity(docs: DataFrame) -> DataFrame:
-    """One row: a string with a character for each bucket of token hashes, 1 + LEVELS * log2 of the count of words there.
+def rarity(lines: DataFrame) -> str:
+    """The level of each bucket of tokens, 1 + LEVELS * log2 of how many lines hold a token there.
 
-    Counts cover all texts. The string has BUCKETS characters whatever the corpus is; tokens that share a bucket
-    look more frequent than they are, which costs candidates but changes no result.
+    Counts cover all lines. There are BUCKETS levels whatever the corpus is; tokens that share a bucket look more
+    frequent than they are, which costs candidates but changes no result.
     """
-    counts = docs.select("text").mapInArrow(_count_rows, "bucket long, n long")
-    every = counts.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n")))
+    counts = lines.select(F.explode("tokens").alias("token")).groupBy(F.col("token").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
+    every = counts.union(lines.sparkSession.range(BUCKETS).select("id", F.lit(0).cast("long")))
     level = F.least(F.lit(126), F.floor(LEVELS * F.log2(F.greatest(F.sum("n"), F.lit(1))))).cast("int") + 1
-    each = every.groupBy("bucket").agg(level.alias("level"))
-    blocks = each.groupBy(F.floor(F.col("bucket") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("bucket", F.chr("level").alias("c")))).alias("x"))
-    blocks = blocks.select("block", F.array_join(F.transform("x", lambda x: x.c), "").alias("part"))
-    return blocks.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "part"))), lambda x: x.part), "").cast("binary").alias("levels"))
+    return _listed(every.groupBy("bucket").agg(level.alias("level")), "bucket", "level")
 
 
-def _token_sets(words: list[list[bytes]], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct tokens of each line, one line after the other and rarest first, and how many each has."""
-    who = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-    h = word_hashes(list(chain.from_iterable(words)))
-    key = (levels[_buckets(h)] << U64(56)) | (h >> U64(8))
-    order = np.lexsort((key, who))
-    key, who = key[order], who[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
-    return key[new], np.bincount(who[new], minlength=len(words))
+def _ranked(tokens: str, levels: str) -> Column:
+    """Tokens with their level in the upper byte, rarest first."""
+    table = F.split(F.lit(levels), ",").cast("array<tinyint>")
+    level = lambda t: F.get(table, t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
+    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(level(t), 56).bitwiseOR(t.bitwiseAND((1 << 56) - 1))))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], levels: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids, line numbers, sizes, tokens) of the lines with at least `least` distinct words; a third column of the batches names the lines to take."""
+def _parity(tokens: str) -> Column:
+    """A bit for each of 64 cells, the parity of the tokens there: two sets differ in at least as many tokens as bits."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
 
-    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        key, n = _token_sets(words, levels)
-        keep = n >= least
-        return np.array(ids, np.int64)[keep], np.array(nos, np.int32)[keep], n[keep], key[np.repeat(keep, n)]
 
-    ids, nos, words, held = [], [], [], 0
-    for batch in batches:
-        every = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(batch)
-        for doc_id, text, wanted in zip(batch.column(0).to_pylist(), texts_of(batch), every, strict=True):
-            if doc_id is None:
-                continue
-            lines = text.lower().split(b"\n")
-            for no in range(len(lines)) if wanted is None else wanted:
-                found = lines[no].split() if no < len(lines) else []
-                if len(found) >= least:
-                    ids.append(doc_id)
-                    nos.append(no)
-                    words.append(found)
-                    held += len(found)
-            if held > HELD:
-                yield block()
-                ids, nos, words, held = [], [], [], 0
-    if words:
-        yield block()
+def first_lines(lines: DataFrame, levels: str, percent: int) -> DataFrame:
+    """(doc_id, line_no, n, parity, prefix) of the first line of each set. prefix: the rarest n - ceil(percent * n / 100) + 1
+    tokens, one of which two similar sets share; none for sets so small that only an equal one is similar."""
+    n = F.size("tokens")
+    size = F.when(100 * n < percent * (n + 1), 0).otherwise(n + 1 - F.ceil(percent * n / 100).cast("int"))
+    row = F.struct(*PLACE, n.alias("n"), _parity("tokens").alias("parity"), F.slice(_ranked("tokens", levels), F.lit(1), size).alias("prefix"))
+    return lines.select("node_a", "node_b", row.alias("x")).groupBy("node_a", "node_b").agg(F.min("x").alias("x")).select("x.*")
 
 
-def _starts(n: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+def _may_be_similar(x: str, y: str, percent: int) -> Column:
+    """Length and parity filters, x having no more words than y: they drop no pair whose Jaccard similarity reaches percent / 100."""
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    differ = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
+    return (percent * F.col(f"{y}.n") <= 100 * F.col(f"{x}.n")) & (differ <= both - 2 * F.ceil(percent * both / (100 + percent)))
 
 
-def _nodes(key: np.ndarray, start: np.ndarray) -> pa.Array:
-    """The name of each set: a hash of all its tokens."""
-    return pa.array(signed(np.array([xxhash.xxh3_64_intdigest(key[a:b].tobytes()) for a, b in zip(start, start[1:], strict=False)], U64)))
+ENDS = ["a_doc_id", "a_line_no", "b_doc_id", "b_line_no"]
 
 
-def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(_starts(n).astype(np.int32)), pa.array(signed(values)))
+def _ends(a: str, b: str) -> list[Column]:
+    return [F.col(f"{side}.{c}").alias(n) for (side, c), n in zip([(s, c) for s in (a, b) for c in PLACE], ENDS, strict=True)]
 
 
-def _line_rows(levels: bytes, least: int, percent: int) -> Callable:
-    """prefix: the rarest n - ceil(percent * n / 100) + 1 tokens, one of which two similar lines share; none for sets so small that only an equal one is similar.
-    parity: a bit for each of 64 cells, the parity of the tokens there."""
-    table = np.frombuffer(levels, np.uint8).astype(U64)
+def _bit(doc_id: Column, line_no: Column) -> tuple[Column, Column]:
+    """The word and the bit in it that stand for a line in a table of BITS bits."""
+    at = F.xxhash64(doc_id, line_no).bitwiseAND(BITS - 1)
+    return F.shiftright(at, 6), at.bitwiseAND(63).cast("int")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, nos, n, key in _blocks(batches, table, least):
-            start = _starts(n)
-            parity = np.bitwise_xor.reduceat(U64(1) << (key & U64(63)), start[:-1]) if len(n) else np.empty(0, U64)
-            size = np.where(100 * n < percent * (n + 1), 0, n + 1 - -(-n * percent // 100))
-            prefix = key[np.arange(len(key)) - np.repeat(start[:-1], n) < np.repeat(size, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nos), _nodes(key, start), pa.array(n.astype(np.int32)), pa.array(signed(parity)), _lists(prefix, size)], ["doc_id", "line_no", "node", "n", "parity", "prefix"])
-
-    return rows
-
-
-def _key_rows(levels: bytes, least: int) -> Callable:
-    table = np.frombuffer(levels, np.uint8).astype(U64)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, nos, n, key in _blocks(batches, table, least):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nos), _lists(key, n)], ["doc_id", "line_no", "keys"])
-
-    return rows
-
-
-def _level(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 56)
-
-
-def _similar_sizes(percent: int) -> Column:
-    """Length and parity filters on a and b: neither drops a pair whose Jaccard similarity reaches percent / 100."""
-    na, nb = F.col("a.n"), F.col("b.n")
-    least = F.ceil(percent * (na + nb) / (100 + percent))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= na + nb - 2 * least)
-
-
-def _similar_places(percent: int) -> Column:
-    """Positional filter: the tokens from the shared one on, itself included, suffice."""
-    na, nb = F.col("a.n"), F.col("b.n")
-    return F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= F.ceil(percent * (na + nb) / (100 + percent))
 
+def _earlier(both: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (ENDS) of rows (a, b), structs of a line, where a stands before b and the filters allow the similarity."""
+    x, y = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    pairs = both.withColumn("x", F.struct(x.alias("n"), F.col("a.parity").alias("parity"))).withColumn("y", F.struct(y.alias("n"), F.col("b.parity").alias("parity")))
+    before = F.struct("a.doc_id", "a.line_no") < F.struct("b.doc_id", "b.line_no")
+    return pairs.where(before & _may_be_similar("x", "y", percent)).select(*_ends("a", "b")).distinct()
 
-def _verified(pairs: DataFrame, docs: DataFrame, levels: bytes, least: int, percent: int) -> DataFrame:
-    """The lines b of pairs (a, b) of lines whose token sets reach the similarity. Only lines named in a pair are hashed again."""
-    pairs = stored(pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("doc_id", "line_no")]).distinct(), "line-pairs")
-    places = pairs.select("a_doc_id", "a_line_no").union(pairs.select("b_doc_id", "b_line_no")).toDF("doc_id", "line_no").distinct()
-    wanted = places.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    both, sets = pairs, stored(texts.mapInArrow(_key_rows(levels, least), "doc_id long, line_no int, keys array<long>"), "line-sets")
-    for side in "ab":
-        both = both.join(sets.toDF(f"{side}_doc_id", f"{side}_line_no", f"{side}_keys"), [f"{side}_doc_id", f"{side}_line_no"])
-    shared = F.size(F.array_intersect("a_keys", "b_keys"))
-    return both.where(100 * shared >= percent * (F.size("a_keys") + F.size("b_keys") - shared)).select(F.col("b_doc_id").alias("doc_id"), F.col("b_line_no").alias("line_no")).distinct()
 
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The later lines b of pairs (ENDS) whose token sets reach the similarity.
 
-def removed_lines(docs: DataFrame, percent: int = 80, least: int = 5, hot: int = 1024, salts: int = 16) -> DataFrame:
+    A table of fixed size says which lines may be named, so that the tokens of most others stay where they are.
+    """
+    pairs = stored(pairs, "line-pairs")
+    named = pairs.select(*ENDS[:2]).union(pairs.select(*ENDS[2:])).toDF(*PLACE)
+    word, bit = _bit(F.col("doc_id"), F.col("line_no"))
+    words = named.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    every = words.union(pairs.sparkSession.range(BITS // 64).select("id", F.lit(0).cast("long")))
+    table = F.split(F.lit(_listed(every.groupBy("word").agg(F.bit_or("bits").alias("bits")), "word", "bits")), ",").cast("array<bigint>")
+    maybe = F.call_function("shiftright", F.get(table, word.cast("int")), bit).bitwiseAND(1) == 1
+    sets = stored(lines.where(maybe).select(*PLACE, "tokens"), "named-lines")
+    for side, columns in (("a", ENDS[:2]), ("b", ENDS[2:])):
+        pairs = pairs.join(sets.toDF(*columns, f"{side}_tokens"), columns)
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    alike = pairs.where(100 * shared >= percent * (F.size("a_tokens") + F.size("b_tokens") - shared))
+    return stored(alike.select(*ENDS[2:]).toDF(*PLACE).distinct(), "settled-lines")
+
+
+def removed_lines(docs: DataFrame, percent: int = 80, crowd: int = 4, rounds: int = 4) -> DataFrame:
     """(doc_id, n_lines, removed): how many lines each document has and the sorted numbers, from 0, of those to remove.
 
     A line goes when an earlier line, by (doc_id, line number), has the same set of words or one whose Jaccard
-    similarity is at least percent / 100, whether or not that line itself goes. Lines of fewer than `least`
-    distinct words never match. A set takes part with its first line only: its later lines go anyway.
+    similarity is at least percent / 100, whether or not that line itself goes. Words are what spaces, tabs and
+    carriage returns separate, in lower case; lines without any stay. A set takes part with its first line only: its later lines go anyway.
 
-    Words are ordered by rarity, counted over all texts. Each line first meets the earliest line of its length
-    under each of its two rarest shared tokens; those that match it are settled, and only the rest look at all
-    lines before them that share a token of the prefix. So lines that are all similar to
-    the earliest of their group don't meet pairwise; a group whose lines are similar to others only still does.
-    Under tokens of more than `hot` words the earliest line is taken in each of `salts` parts.
+    Words are ordered by rarity, counted over all texts. Each line first meets the earliest line of as many words
+    under each of three tokens of its prefix; those that match it are settled. Where at least `crowd` lines stand under a
+    token, the earliest that isn't settled yet meets the others there, in so many rounds. Then all lines meet that share a token of their prefixes, the shorter one's being the shorter prefix
+    that this allows, and pass the length, positional and parity filters, if the later one isn't settled. So the lines of a
+    group of near copies don't meet pairwise; crowd and rounds change the work, never the result.
 
     Null texts are one empty line; rows with a null doc_id are not in the result; rows that repeat a doc_id are one document:
     their lines share numbers and decisions, and n_lines is the most of them. Other columns are not read. An
-    empty table gives no rows. Tokens and sets are 64-bit hashes.
+    empty table gives no rows. Words are 64-bit hashes (two different ones are equal with probability 2^-64), sets of lines are named by 128 bits.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    levels = bytes(rarity(docs).first().levels)  # BUCKETS bytes, whatever the corpus is
-    lines = stored(docs.mapInArrow(_line_rows(levels, least, percent), "doc_id long, line_no int, node long, n int, parity long, prefix array<long>"), "lines")
-    firsts = stored(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("x")).select("node", "x.*"), "first-lines")
-
-    line = ["doc_id", "line_no", "n", "parity"]
-    rare = firsts.select(*line, F.explode(F.slice(F.filter("prefix", lambda t: _level(t) > 1), 1, 2)).alias("token"))  # level 1: one word in all texts
-    part = F.when(_level(F.col("token")) > 1 + LEVELS * (hot.bit_length() - 1), F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts))).otherwise(0)
-    earliest = F.first(F.struct(*line)).over(Window.partitionBy("token", part, "n").orderBy("doc_id", "line_no"))
-    before = F.struct("a.doc_id", "a.line_no") < F.struct("b.doc_id", "b.line_no")
-    heads = rare.select(earliest.alias("a"), F.struct(*line).alias("b")).where(before & _similar_sizes(percent))
-    seen = stored(_verified(heads, docs, levels, least, percent), "settled-lines")
-
-    flagged = firsts.join(seen.withColumn("settled", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    flagged = stored(flagged.select(*line, "prefix", "settled"), "flagged-lines")
-    prefixes = flagged.select(*line, "settled", F.posexplode("prefix").alias("pos", "token")).where(_level(F.col("token")) > 1)
-    # both sides stay one plan, so that Spark can reuse the shuffle; a condition on b alone would move below the shuffle
-    open_b = F.expr("NOT b.settled OR (a.settled AND a.doc_id > b.doc_id)")
-    pairs = prefixes.alias("a").join(prefixes.alias("b"), F.expr("a.token = b.token") & open_b & before & _similar_sizes(percent) & _similar_places(percent))
-    pairs = pairs.select(*[F.struct(f"{s}.doc_id", f"{s}.line_no").alias(s) for s in "ab"])
-    seen = stored(seen.union(_verified(pairs, docs, levels, least, percent)).distinct(), "similar-lines")
-
-    first = firsts.select("node", F.struct("doc_id", "line_no").alias("first"))
-    later = lines.select("node", "doc_id", "line_no").join(first, "node").where(F.struct("doc_id", "line_no") > F.col("first")).select("doc_id", "line_no")
-    gone = later.union(seen).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    text = F.coalesce("text", F.lit(""))
-    counts = docs.groupBy("doc_id").agg(F.max(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
-    return counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    with scratch(docs.sparkSession):
+        docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        lines = checkpointed(token_lines(docs))
+        levels = rarity(lines)
+        firsts = stored(first_lines(lines, levels, percent), "first-lines")
+
+        line = [*PLACE, "n", "parity"]
+        shared = lambda rows: rows.where(F.shiftrightunsigned("token", 56) > 1)  # noqa: E731  level 1: a token of one line
+        size = F.size("prefix")  # the rarest words of a near copy are often those that it alone has, so some from further on too
+        some = F.array_distinct(F.array(*[F.get("prefix", (size * i / 3).cast("int") if i < 3 else size - 1) for i in (1, 2, 3)]))
+        rare = shared(firsts.select(*line, F.explode(some).alias("token")))
+        heads = rare.groupBy("token", "n").agg(F.min(F.struct(*PLACE, "parity")).alias("head"), (F.count("*") >= crowd).alias("crowded"))
+        near = rare.join(heads, ["token", "n"]).select("token", *line, "crowded", *[F.col(f"head.{c}").alias(f"head_{c}") for c in (*PLACE, "parity")])
+        near = stored(near.where("crowded OR head_doc_id <> doc_id OR head_line_no <> line_no"), "near-lines")
+        both = near.select(F.struct("n", *[F.col(f"head_{c}").alias(c) for c in (*PLACE, "parity")]).alias("a"), F.struct(*line).alias("b"))
+        settled = _verified(_earlier(both, percent), lines, percent)
+        crowded = near.where("crowded").select("token", *line)
+        for _ in range(rounds):
+            crowded = stored(crowded.join(settled, PLACE, "left_anti"), "crowded-lines")
+            leaders = crowded.groupBy("token").agg(F.min(F.struct(*line)).alias("a"))
+            led = stored(crowded.join(leaders, "token").where("a.doc_id <> doc_id OR a.line_no <> line_no"), "led-lines")
+            both, crowded = led.select("a", F.struct(*line).alias("b")), led.drop("a")
+            settled = stored(settled.union(_verified(_earlier(both, percent), lines, percent)).distinct(), "settled-so-far")
+        settled = settled.withColumn("settled", F.lit(True))
+
+        rows = stored(firsts.join(settled, PLACE, "left").select(*line, F.coalesce("settled", F.lit(False)).alias("settled"), "prefix"), "flagged-lines")
+        rows = shared(rows.select(*line, "settled", F.posexplode("prefix").alias("pos", "token")))
+        x, y = rows.alias("x").hint("shuffle_hash"), rows.alias("y")  # both sides stay one plan, so that Spark can reuse the shuffle
+        both, most = F.expr("x.n + y.n"), 100 + percent
+        shorter = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.struct("x.doc_id", "x.line_no") < F.struct("y.doc_id", "y.line_no")))
+        prefix = F.col("x.pos") < F.col("x.n") - F.ceil(2 * percent * F.col("x.n") / most) + 1
+        places = F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= F.ceil(percent * both / most)
+        swap = F.struct("x.doc_id", "x.line_no") > F.struct("y.doc_id", "y.line_no")
+        open_ = ~F.when(swap, F.col("x.settled")).otherwise(F.col("y.settled"))
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & prefix & shorter & places & _may_be_similar("x", "y", percent) & open_)
+        ends = [F.when(swap, q).otherwise(p).alias(n) for p, q, n in zip(_ends("x", "y"), _ends("y", "x"), ENDS, strict=True)]
+        similar = _verified(met.select(*ends).distinct(), lines, percent)
+
+        stay = firsts.select(*PLACE).join(settled, PLACE, "left_anti").join(similar, PLACE, "left_anti")
+        gone = lines.select(*PLACE).join(stay, PLACE, "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+        text = F.coalesce("text", F.lit(""))
+        counts = docs.groupBy("doc_id").agg(F.max(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+        return kept(counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")), "removed-lines")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """docs, with all their rows and columns, whose text has lost the lines of removed_lines; a document that loses all
-    has an empty text. A column n_chars, where there is one, follows the text."""
-    gone = stored(removed_lines(docs, **options).where(F.size("removed") > 0).select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed")), "removed-lines")
+    has an empty text. A column n_chars, where there is one, follows the text. Null texts, rows with a null doc_id and
+    rows that lose nothing stay as they are; repeated rows and rows that share a doc_id stay and lose the same lines; columns of any name are kept.
+    An empty table gives no rows."""
+    name = f"removed_{uuid.uuid4().hex}"  # no column of docs has it
+    gone = removed_lines(docs, **options).where(F.size("removed") > 0).select(F.col("doc_id").alias(f"{name}_of"), F.col("removed").alias(name))
     lines = F.split(F.col("text"), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    changed = docs.join(gone, docs.doc_id == gone["__doc"], "left").withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(name))
+    text = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    changed = docs.join(gone, docs.doc_id == gone[f"{name}_of"], "left")
+    lost = F.col(name).isNotNull() & F.col("text").isNotNull()
+    columns = {"text": F.when(lost, text).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return changed.select(*docs.columns)
+        columns["n_chars"] = F.when(lost, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return changed.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])
