@@ -68,9 +68,15 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     scopes = _open.__dict__.get("scopes")
     if scopes:
         scopes[-1].append(path)
+    out.stored_at = path
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what stored() returned as df; nothing may read it afterwards."""
+    drop(df.sparkSession, [df.stored_at])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Like stored(), by a reliable checkpoint in the shared folder: rows stay in Spark's own form, which long arrays of numbers are written and read faster in."""
     spark = df.sparkSession

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, components, mixed, shingles, signed, stored, texts_of
+from .common import U64, components, discard, kept, mixed, scratch, shingles, signed, stored, texts_of
 
 #: Similarity 0.8: |x & y| >= 0.8 |x | y| is |x ^ y| <= (|x| + |y|) / 9, and sizes differ by a quarter at most.
 SHARE = 9
+#: Columns of 64 parity bits each.
+PARITY = [f"p{i}" for i in range(16)]
 
 
 @dataclass(frozen=True)
@@ -108,49 +111,43 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         new = first | (doc != pivot)
         return pa.RecordBatch.from_arrays([pa.array(signed(sig[new])), pa.array(doc[new]), pa.array(pivot[new], mask=first[new])], ["sig", "a", "b"])
 
-    ids, sets, held = [], [], 0
+    ids, sets, held, seen = [], [], 0, set()
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
             s = shingles(text)
-            if doc_id is None or not len(s):
+            key = xxhash.xxh3_128_digest(s.tobytes())
+            if doc_id is None or not len(s) or key in seen:  # equal sets are one class already
                 continue
+            seen.add(key)
             ids.append(doc_id)
             sets.append(s)
             held += len(s)
             if held > 1_000_000:
                 yield block(ids, sets)
-                ids, sets, held = [], [], 0
+                ids, sets, held, seen = [], [], 0, set()
     if sets:
         yield block(ids, sets)
 
 
-def _parity(s: np.ndarray) -> bytes:
-    """Bit i is the parity of the elements that fall on i: two sets differ in at least as many elements as bits."""
-    size = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
-    return np.packbits(np.bincount((s & U64(size - 1)).astype(np.int64), minlength=size) & 1 > 0).tobytes()
+def _parity(s: np.ndarray) -> np.ndarray:
+    """64 * len(PARITY) bits, bit i the parity of the elements that fall on i: two sets differ in at least as many elements as bits."""
+    bits = np.bincount((s & U64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t) for t in texts_of(batch)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([_parity(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key", "parity"]
-        )
+        parity = np.array([_parity(s) for s in sets]).reshape(len(sets), len(PARITY))
+        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, parity.T)], ["doc_id", "n_shingles", "set_key", *PARITY])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) whose sizes and parities allow the similarity."""
-    for batch in batches:
-        keep = []
-        cols = [batch.column(i).to_pylist() for i in range(2, 6)]
-        for nu, nv, pu, pv in zip(*cols, strict=True):
-            x, y = np.frombuffer(pu, np.uint8), np.frombuffer(pv, np.uint8)
-            while len(x) > len(y):  # a longer row of bits folds onto a shorter one
-                x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-            while len(y) > len(x):
-                y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-            keep.append(4 * max(nu, nv) <= 5 * min(nu, nv) and int(np.bitwise_count(x ^ y).sum()) <= (nu + nv) // SHARE)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def _may_link(u: str, v: str) -> Column:
+    """Sizes and parities of u and v allow the similarity; prefixes of the columns' names."""
+    nu, nv = F.col(f"{u}n"), F.col(f"{v}n")
+    differ = sum((F.bit_count(F.col(f"{u}{p}").bitwiseXOR(F.col(f"{v}{p}"))) for p in PARITY[1:]), F.bit_count(F.col(f"{u}{PARITY[0]}").bitwiseXOR(F.col(f"{v}{PARITY[0]}"))))
+    return (4 * F.greatest(nu, nv) <= 5 * F.least(nu, nv)) & (SHARE * differ <= nu + nv)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,50 +189,50 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     Documents that share a signature are first compared with the first one that has it, in blocks of documents
     and then among the blocks' first ones, so a large group of copies gives a star and not all pairs. Where a
     signature's documents are then still in several components, all pairs across these are compared: nothing
-    that shares a signature is left out, and whatever links shares one. Pairs pass exact bounds (sizes, parity
-    bits) before their texts are read again.
+    that shares a signature is left out, and whatever links shares one. Sizes and parity bits bound the similarity
+    as a condition of that join, so pairs that can't link leave no rows; the others' texts are read again.
 
     Null and empty texts, and texts of white space, have n_shingles 0 and component_id = doc_id. A null doc_id
     links with nothing and has a null component. Rows that repeat a doc_id link as one document when either
     links. Other columns are not read. An empty table gives no rows. Elements are 64-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = stored(docs.mapInArrow(_member_rows, "doc_id long, n_shingles long, set_key binary, parity binary"), "members")
-    full = members.where("doc_id is not null and n_shingles > 0")
-    classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "classes")
-    reps = stored(full.join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("id"), "rep").distinct(), "representatives")
-    sets = classes.select(F.col("rep").alias("id"), "n", "parity")
-
-    rows = docs.mapInArrow(_signature_rows, "sig long, a long, b long")
-    first = F.min("a").over(Window.partitionBy("sig", "b"))  # the blocks' first ones, with b null, meet; pairs of a block only each other
-    shared = rows.withColumn("b", F.coalesce("b", first)).where("a <> b")
-    shared = stored(shared, "shared-signatures")
-    named = shared
-    for side in "ab":
-        named = named.join(reps.select(F.col("id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
-    named = stored(named.where("a_rep <> b_rep").select("sig", F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v")).distinct(), "signature-pairs")
-
-    stars = _with(named.select("u", "v").distinct(), sets, ["n", "parity"]).mapInArrow(_near, "u long, v long")
-    stars = stored(stars, "star-pairs")
-    one = stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    links = _verified(one, docs)
-    labels = components(links)
-    links = links.union(_verified(_across(stars.join(one, ["u", "v"], "left_anti"), labels), docs))
-    labels = components(links)
-
-    inside = named.select("sig", F.col("u").alias("id")).union(named.select("sig", "v")).distinct().join(labels, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    inside = stored(inside, "signature-members")
-    several = inside.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    rest = stored(inside.join(several, "sig", "left_semi").join(sets, "id"), "open-signatures")
-    u, v = rest.alias("u"), rest.alias("v")
-    pairs = u.join(v, F.expr("u.sig = v.sig AND u.id < v.id AND u.component <> v.component AND 4 * greatest(u.n, v.n) <= 5 * least(u.n, v.n)"))
-    pairs = pairs.select(F.col("u.id").alias("u"), F.col("v.id").alias("v"), F.col("u.n").alias("n1"), F.col("v.n").alias("n2"), F.col("u.parity").alias("p1"), F.col("v.parity").alias("p2"))
-    pairs = stored(pairs.mapInArrow(_near, "u long, v long").distinct().join(stars, ["u", "v"], "left_anti"), "open-pairs")
-    if not pairs.isEmpty():
-        labels = components(links.union(_verified(pairs, docs)))
-
-    found = members.join(classes.select("set_key", "rep"), "set_key", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))).otherwise(F.col("doc_id")).alias("component_id"))
+    with scratch(docs.sparkSession):
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        members = stored(docs.mapInArrow(_member_rows, "doc_id long, n_shingles long, set_key binary, " + ", ".join(f"{p} long" for p in PARITY)), "members")
+        full = members.where("doc_id is not null and n_shingles > 0")
+        classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(p).alias(p) for p in PARITY]), "classes")
+        reps = stored(full.select("set_key", "doc_id").join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("id"), "rep").distinct(), "representatives")
+        sets = classes.select(F.col("rep").alias("id"), "n", *PARITY)
+
+        rows = docs.mapInArrow(_signature_rows, "sig long, a long, b long")
+        first = F.min("a").over(Window.partitionBy("sig", "b"))  # the blocks' first ones, with b null, meet; pairs of a block only each other
+        shared = stored(rows.withColumn("b", F.coalesce("b", first)).where("a <> b"), "shared-signatures")
+        named = shared
+        for side in "ab":
+            named = named.join(reps.select(F.col("id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+        named = stored(named.where("a_rep <> b_rep").select("sig", F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v")).distinct(), "signature-pairs")
+        discard(shared)
+
+        stars = stored(_with(named.select("u", "v").distinct(), sets, ["n", *PARITY]).where(_may_link("u_", "v_")).select("u", "v"), "star-pairs")
+        one = stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+        links = _verified(one, docs)
+        labels = components(links)
+        links = links.union(_verified(_across(stars.join(one, ["u", "v"], "left_anti"), labels), docs))
+        labels = components(links)
+
+        inside = named.select("sig", F.col("u").alias("id")).union(named.select("sig", "v")).distinct().join(labels, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+        inside = stored(inside, "signature-members")
+        several = inside.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+        rest = stored(inside.join(several, "sig", "left_semi"), "open-signatures").join(sets, "id")
+        u, v = rest.alias("u"), rest.alias("v")
+        pairs = u.join(v, F.expr("u.sig = v.sig AND u.id < v.id AND u.component <> v.component") & _may_link("u.", "v."))
+        pairs = stored(pairs.select(F.col("u.id").alias("u"), F.col("v.id").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"), "open-pairs")
+        if not pairs.isEmpty():
+            labels = components(links.union(_verified(pairs, docs)))
+
+        found = members.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+        component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))).otherwise(F.col("doc_id"))
+        return kept(found.select("doc_id", "n_shingles", component.alias("component_id")), "jaccard-classes")
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -246,7 +243,11 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one_of_class(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, of the smallest doc_id of each class; rows with a null doc_id stay."""
-    away = jaccard_classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__doc")).distinct()
-    away = stored(away, "near-copies")
-    return docs.join(away, docs.doc_id == away["__doc"], "left_anti")
+    """The rows of docs, with all their columns, of the smallest doc_id of each class of jaccard_classes.
+
+    Rows with a null doc_id, empty texts and texts without words stay; rows that repeat a doc_id stay or go together;
+    columns of any name are kept. An empty table gives no rows.
+    """
+    name = f"copy_{uuid.uuid4().hex}"  # no column of docs has it
+    away = jaccard_classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(away, docs.doc_id == away[name], "left_anti")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, kept, scratch, stored
+from .common import checkpointed, discard, kept, scratch, stored
 
 #: Buckets that tokens are counted in, and how many of them stand in one row while their levels are put together.
 BUCKETS, BLOCK = 1 << 17, 1 << 9
@@ -159,20 +159,21 @@ def removed_lines(docs: DataFrame, percent: int = 80, crowd: int = 4, rounds: in
             settled = stored(settled.union(_verified(_earlier(both, percent), lines, percent)).distinct(), "settled-so-far")
         settled = settled.withColumn("settled", F.lit(True))
 
-        rows = stored(firsts.join(settled, PLACE, "left").select(*line, F.coalesce("settled", F.lit(False)).alias("settled"), "prefix"), "flagged-lines")
-        rows = shared(rows.select(*line, "settled", F.posexplode("prefix").alias("pos", "token")))
+        flagged = stored(firsts.join(settled, PLACE, "left").select(*line, F.coalesce("settled", F.lit(False)).alias("settled"), "prefix"), "flagged-lines")
+        discard(firsts)
+        rows = shared(flagged.select(*line, "settled", F.posexplode("prefix").alias("pos", "token")))
         x, y = rows.alias("x").hint("shuffle_hash"), rows.alias("y")  # both sides stay one plan, so that Spark can reuse the shuffle
         both, most = F.expr("x.n + y.n"), 100 + percent
         shorter = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.struct("x.doc_id", "x.line_no") < F.struct("y.doc_id", "y.line_no")))
-        prefix = F.col("x.pos") < F.col("x.n") - F.ceil(2 * percent * F.col("x.n") / most) + 1
         places = F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= F.ceil(percent * both / most)
         swap = F.struct("x.doc_id", "x.line_no") > F.struct("y.doc_id", "y.line_no")
         open_ = ~F.when(swap, F.col("x.settled")).otherwise(F.col("y.settled"))
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & prefix & shorter & places & _may_be_similar("x", "y", percent) & open_)
+        # places also keeps the shorter one to its index prefix, x.n - ceil(2 * percent * x.n / most) + 1 tokens
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & shorter & places & _may_be_similar("x", "y", percent) & open_)
         ends = [F.when(swap, q).otherwise(p).alias(n) for p, q, n in zip(_ends("x", "y"), _ends("y", "x"), ENDS, strict=True)]
         similar = _verified(met.select(*ends).distinct(), lines, percent)
 
-        stay = firsts.select(*PLACE).join(settled, PLACE, "left_anti").join(similar, PLACE, "left_anti")
+        stay = flagged.where("NOT settled").select(*PLACE).join(similar, PLACE, "left_anti")
         gone = lines.select(*PLACE).join(stay, PLACE, "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
         text = F.coalesce("text", F.lit(""))
         counts = docs.groupBy("doc_id").agg(F.max(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))

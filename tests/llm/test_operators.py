@@ -110,6 +110,13 @@ def test_signatures_of_very_long_texts():
         assert jaccard_join.windows(most) == jaccard_join.windows(1 << 20)[: len(jaccard_join.windows(most))]
 
 
+@pytest.fixture
+def small_tables(monkeypatch):
+    """Tables of rarity and of named lines that a few rows fill, as a large corpus fills the usual ones."""
+    for name, size in (("BUCKETS", 256), ("BLOCK", 16), ("BITS", 1024)):
+        monkeypatch.setattr(line_dedup, name, size)
+
+
 def without_repeats(texts):
     """Brute force: {doc_id: (lines, numbers of those that repeat an earlier one)} of (doc_id, text)."""
     seen, want = [], {}
@@ -126,7 +133,7 @@ def without_repeats(texts):
     return want
 
 
-def test_line_dedup_equals_brute_force(docs, rows):
+def test_line_dedup_equals_brute_force(docs, rows, small_tables):
     want = without_repeats([(i, t) for i, t, _ in rows])
     assert {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup.removed_lines(docs).collect()} == want
     left = line_dedup.dedup_lines(docs)
@@ -135,7 +142,7 @@ def test_line_dedup_equals_brute_force(docs, rows):
     assert sorted(map(repr, left.collect())) == sorted(map(repr, [type(left.first())(doc_id=i, text=strip(i, t), kept=k) for i, t, k in rows]))
 
 
-def test_line_dedup_takes_short_lines(spark, tmp_path):
+def test_line_dedup_takes_short_lines(spark, tmp_path, small_tables):
     """Lines of one word and more, near copies of many lengths and permuted lines, in the query, the stage of the pipeline and the operator, against brute force."""
     rng = random.Random(11)
     texts = ["\n".join(" ".join(words(rng, rng.randrange(7), 9)) for _ in range(6)) for _ in range(40)]
@@ -342,7 +349,7 @@ def test_revisits(spark, slice_rows):
             assert want != "resolved" or got[i].headers == {"etag": headers["ETag"], "content-length": "5"}
 
 
-def test_empty_tables(spark, docs):
+def test_empty_tables(spark, docs, small_tables):
     none, labels = docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (exact_dedup.exact_dedup(none), jaccard_join.jaccard_classes(none), line_dedup.removed_lines(none), suffix_dedup.repeated_passages(none), length_buckets.length_buckets(none), token_packing.pack_tokens(none), toxicity.toxicity(none, labels), decontamination.decontaminate(none, bench)):
