@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, discard, kept, scratch, stored
 
-#: Buckets that tokens are counted in, and how many of them stand in one row while their levels are put together.
-BUCKETS, BLOCK = 1 << 17, 1 << 9
+#: Slots of the table of frequent tokens, at most how many of these it holds, and how many slots stand in one row while it is put together.
+SLOTS, FREQUENT, BLOCK = 1 << 18, 1 << 16, 1 << 9
 LEVELS = 4  # levels of rarity for each doubling of the count
 PLACE = ["doc_id", "line_no"]
 #: Bits of the table that says which lines are named in a pair; the tokens of others don't move.
@@ -37,21 +37,28 @@ def _listed(rows: DataFrame, index: str, value: str) -> str:
 
 
 def rarity(lines: DataFrame) -> str:
-    """The level of each bucket of tokens, 1 + LEVELS * log2 of how many lines hold a token there.
+    """For each slot of tokens 1 + LEVELS * log2 of the count of the most frequent token there, among the FREQUENT most frequent ones.
 
-    Counts cover all lines. There are BUCKETS levels whatever the corpus is; tokens that share a bucket look more
-    frequent than they are, which costs candidates but changes no result.
+    Counts cover all lines. A slot without a frequent token, and so most rare tokens, has level 0. There are SLOTS
+    levels whatever the corpus is; a rare token in the slot of a frequent one costs candidates but changes no result.
     """
-    counts = lines.select(F.explode("tokens").alias("token")).groupBy(F.col("token").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
-    every = counts.union(lines.sparkSession.range(BUCKETS).select("id", F.lit(0).cast("long")))
-    level = F.least(F.lit(126), F.floor(LEVELS * F.log2(F.greatest(F.sum("n"), F.lit(1))))).cast("int") + 1
-    return _listed(every.groupBy("bucket").agg(level.alias("level")), "bucket", "level")
+    counts = stored(lines.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token-counts")
+    level = F.least(F.lit(126), 1 + F.floor(LEVELS * F.log2("n"))).cast("int")
+    least, held = 127, 0
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 126 rows
+        held += row["count"]
+        if held > FREQUENT:
+            break
+        least = row.level
+    frequent = counts.where(level >= least).select(F.col("token").bitwiseAND(SLOTS - 1).alias("slot"), level.alias("level"))
+    every = frequent.union(lines.sparkSession.range(SLOTS).select("id", F.lit(0)))
+    return _listed(every.groupBy("slot").agg(F.max("level").alias("level")), "slot", "level")
 
 
 def _ranked(tokens: str, levels: str) -> Column:
     """Tokens with their level in the upper byte, rarest first."""
     table = F.split(F.lit(levels), ",").cast("array<tinyint>")
-    level = lambda t: F.get(table, t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
+    level = lambda t: F.get(table, t.bitwiseAND(SLOTS - 1).cast("int")).cast("long")
     return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(level(t), 56).bitwiseOR(t.bitwiseAND((1 << 56) - 1))))
 
 
@@ -89,12 +96,16 @@ def _bit(doc_id: Column, line_no: Column) -> tuple[Column, Column]:
     return F.shiftright(at, 6), at.bitwiseAND(63).cast("int")
 
 
-def _earlier(both: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (ENDS) of rows (a, b), structs of a line, where a stands before b and the filters allow the similarity."""
-    x, y = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    pairs = both.withColumn("x", F.struct(x.alias("n"), F.col("a.parity").alias("parity"))).withColumn("y", F.struct(y.alias("n"), F.col("b.parity").alias("parity")))
+def _allowed(both: DataFrame, percent: int) -> DataFrame:
+    """The rows (a, b), structs of a line, where a stands before b and the filters allow the similarity."""
+    x, y = (F.struct(f("a.n", "b.n").alias("n"), F.col(f"{s}.parity").alias("parity")) for f, s in ((F.least, "a"), (F.greatest, "b")))
     before = F.struct("a.doc_id", "a.line_no") < F.struct("b.doc_id", "b.line_no")
-    return pairs.where(before & _may_be_similar("x", "y", percent)).select(*_ends("a", "b")).distinct()
+    return both.withColumn("x", x).withColumn("y", y).where(before & _may_be_similar("x", "y", percent)).select("a", "b")
+
+
+def _earlier(both: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (ENDS) of those."""
+    return _allowed(both, percent).select(*_ends("a", "b")).distinct()
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -117,7 +128,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return stored(alike.select(*ENDS[2:]).toDF(*PLACE).distinct(), "settled-lines")
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, crowd: int = 4, rounds: int = 4) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 80, crowd: int = 8, rounds: int = 3) -> DataFrame:
     """(doc_id, n_lines, removed): how many lines each document has and the sorted numbers, from 0, of those to remove.
 
     A line goes when an earlier line, by (doc_id, line number), has the same set of words or one whose Jaccard
@@ -126,9 +137,10 @@ def removed_lines(docs: DataFrame, percent: int = 80, crowd: int = 4, rounds: in
 
     Words are ordered by rarity, counted over all texts. Each line first meets the earliest line of as many words
     under each of three tokens of its prefix; those that match it are settled. Where at least `crowd` lines stand under a
-    token, the earliest that isn't settled yet meets the others there, in so many rounds. Then all lines meet that share a token of their prefixes, the shorter one's being the shorter prefix
-    that this allows, and pass the length, positional and parity filters, if the later one isn't settled. So the lines of a
-    group of near copies don't meet pairwise; crowd and rounds change the work, never the result.
+    token, those that aren't settled yet meet `crowd` lines drawn there, in so many rounds, and the likeliest of these is
+    tried. Then all lines meet that share a token of their prefixes and pass the length, positional and parity filters, if
+    the later one isn't settled; two of its partners are tried before the rest. So the lines of a group of near copies
+    don't meet pairwise; crowd and rounds change the work, never the result.
 
     Null texts are one empty line; rows with a null doc_id are not in the result; rows that repeat a doc_id are one document:
     their lines share numbers and decisions, and n_lines is the most of them. Other columns are not read. An
@@ -141,27 +153,28 @@ def removed_lines(docs: DataFrame, percent: int = 80, crowd: int = 4, rounds: in
         firsts = stored(first_lines(lines, levels, percent), "first-lines")
 
         line = [*PLACE, "n", "parity"]
-        shared = lambda rows: rows.where(F.shiftrightunsigned("token", 56) > 1)  # noqa: E731  level 1: a token of one line
         size = F.size("prefix")  # the rarest words of a near copy are often those that it alone has, so some from further on too
         some = F.array_distinct(F.array(*[F.get("prefix", (size * i / 3).cast("int") if i < 3 else size - 1) for i in (1, 2, 3)]))
-        rare = shared(firsts.select(*line, F.explode(some).alias("token")))
-        heads = rare.groupBy("token", "n").agg(F.min(F.struct(*PLACE, "parity")).alias("head"), (F.count("*") >= crowd).alias("crowded"))
-        near = rare.join(heads, ["token", "n"]).select("token", *line, "crowded", *[F.col(f"head.{c}").alias(f"head_{c}") for c in (*PLACE, "parity")])
-        near = stored(near.where("crowded OR head_doc_id <> doc_id OR head_line_no <> line_no"), "near-lines")
-        both = near.select(F.struct("n", *[F.col(f"head_{c}").alias(c) for c in (*PLACE, "parity")]).alias("a"), F.struct(*line).alias("b"))
-        settled = _verified(_earlier(both, percent), lines, percent)
-        crowded = near.where("crowded").select("token", *line)
-        for _ in range(rounds):
-            crowded = stored(crowded.join(settled, PLACE, "left_anti"), "crowded-lines")
-            leaders = crowded.groupBy("token").agg(F.min(F.struct(*line)).alias("a"))
-            led = stored(crowded.join(leaders, "token").where("a.doc_id <> doc_id OR a.line_no <> line_no"), "led-lines")
-            both, crowded = led.select("a", F.struct(*line).alias("b")), led.drop("a")
-            settled = stored(settled.union(_verified(_earlier(both, percent), lines, percent)).distinct(), "settled-so-far")
+        rare = firsts.select(*line, F.explode(some).alias("token"))
+        heads = rare.groupBy("token", "n").agg(F.min(F.struct(*line)).alias("head"), (F.count("*") >= crowd).alias("crowded"))
+        near = rare.join(heads, ["token", "n"]).where("crowded OR head.doc_id <> doc_id OR head.line_no <> line_no")
+        near = stored(near.select("token", F.struct(*line).alias("b"), "head", "crowded"), "near-lines")
+        settled = _verified(_earlier(near.select(F.col("head").alias("a"), "b"), percent), lines, percent)
+        everyone, open_ = near.where("crowded").select("token", "b"), None
+        for r in range(rounds):
+            salt = F.pmod(F.xxhash64(F.lit(r), "b.doc_id", "b.line_no"), F.lit(crowd))
+            drawn = everyone.groupBy("token", salt.alias("salt")).agg(F.min_by("b", F.xxhash64("b.line_no", F.lit(r), "b.doc_id")).alias("a"))
+            left = F.struct(F.col("b.doc_id").alias("doc_id"), F.col("b.line_no").alias("line_no"))
+            open_ = (everyone if open_ is None else open_).join(settled.select(F.struct(*PLACE).alias("done")), F.col("done") == left, "left_anti")
+            open_ = stored(open_, "open-lines")
+            both = _allowed(open_.join(drawn, "token").select("a", "b"), percent)
+            best = both.groupBy("b").agg(F.min(F.struct(F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))).alias("differ"), "a")).alias("x")).select("x.a", "b")
+            settled = stored(settled.union(_verified(best.select(*_ends("a", "b")), lines, percent)), "settled-so-far")
         settled = settled.withColumn("settled", F.lit(True))
 
         flagged = stored(firsts.join(settled, PLACE, "left").select(*line, F.coalesce("settled", F.lit(False)).alias("settled"), "prefix"), "flagged-lines")
         discard(firsts)
-        rows = shared(flagged.select(*line, "settled", F.posexplode("prefix").alias("pos", "token")))
+        rows = flagged.select(*line, "settled", F.posexplode("prefix").alias("pos", "token"))
         x, y = rows.alias("x").hint("shuffle_hash"), rows.alias("y")  # both sides stay one plan, so that Spark can reuse the shuffle
         both, most = F.expr("x.n + y.n"), 100 + percent
         shorter = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.struct("x.doc_id", "x.line_no") < F.struct("y.doc_id", "y.line_no")))
@@ -171,7 +184,11 @@ def removed_lines(docs: DataFrame, percent: int = 80, crowd: int = 4, rounds: in
         # places also keeps the shorter one to its index prefix, x.n - ceil(2 * percent * x.n / most) + 1 tokens
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & shorter & places & _may_be_similar("x", "y", percent) & open_)
         ends = [F.when(swap, q).otherwise(p).alias(n) for p, q, n in zip(_ends("x", "y"), _ends("y", "x"), ENDS, strict=True)]
-        similar = _verified(met.select(*ends).distinct(), lines, percent)
+        pairs = stored(met.select(*ends).distinct(), "similar-prefixes")
+        few = pairs.groupBy(*ENDS[2:]).agg(F.min(F.struct(*ENDS[:2])).alias("a"), F.max(F.struct(*ENDS[:2])).alias("z"))
+        few = few.select(F.explode(F.array_distinct(F.array("a", "z"))).alias("a"), *ENDS[2:]).select("a.*", *ENDS[2:])
+        similar = _verified(few, lines, percent)
+        similar = similar.union(_verified(pairs.join(similar.toDF(*ENDS[2:]), ENDS[2:], "left_anti").join(few, ENDS, "left_anti"), lines, percent))
 
         stay = flagged.where("NOT settled").select(*PLACE).join(similar, PLACE, "left_anti")
         gone = lines.select(*PLACE).join(stay, PLACE, "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))

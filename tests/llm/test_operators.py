@@ -113,7 +113,7 @@ def test_signatures_of_very_long_texts():
 @pytest.fixture
 def small_tables(monkeypatch):
     """Tables of rarity and of named lines that a few rows fill, as a large corpus fills the usual ones."""
-    for name, size in (("BUCKETS", 256), ("BLOCK", 16), ("BITS", 1024)):
+    for name, size in (("SLOTS", 256), ("FREQUENT", 100), ("BLOCK", 16), ("BITS", 1024)):
         monkeypatch.setattr(line_dedup, name, size)
 
 
