@@ -53,12 +53,30 @@ class Rules:
     default_category: str = "企业动态"
     default_status: str = "新增"
     resolved: tuple = RESOLVED
+    unverified: str = "待核实"
     high_from: int = 70
     medium_from: int = 40
     #: Terms that need more than a substring, as patterns.
     patterns: dict = field(default_factory=lambda: {"大风": "(?<!重)大风(?!险)"})
 
 
+@dataclass(frozen=True)
+class ValueLexicon:
+    """Terms and categories that say how much an event matters to business. The defaults are fixed values."""
+
+    activity: tuple = ("党建", "党支部", "主题党日", "青年联盟", "青年说", "文体活动", "荣获", "获奖", "荣誉", "慰问", "参观", "学习贯彻", "座谈交流")
+    impact: tuple = ("航行警告", "风险预警", "大风", "大雾", "台风", "停航", "限航", "交通管制", "封航", "作业调整", "停靠", "延误", "拥堵", "费率", "运价", "航线调整", "采购公告", "招标公告", "开标", "投标")
+    business: tuple = ("港口", "码头", "航运", "物流", "货代", "货主", "口岸", "通关", "船舶", "集装箱", "海铁联运", "多式联运", "供应链", "泊位", "锚地", "装卸", "运输", "采购", "招标", "监管", "申报")
+    weather: tuple = ("大风", "大雾")
+    safety: tuple = ("航行警告", "海上气象")
+    trade: tuple = ("招标采购", "航线运价", "港口作业")
+    policy: str = "政策监管"
+    company: str = "企业动态"
+
+
+LATIN_VALUES = ValueLexicon(activity=("cookie", "subscribe", "menu"), impact=("license", "idiot", "scum"), business=("ing", "ment", "keit", "que "), weather=("scum",), safety=("notice",), trade=("market",), policy="weather", company="company")
+
+
 #: For tables of invented Latin-script prose.
 LATIN = Rules(
     risk_base={"notice": 45, "weather": 40, "market": 25, "company": 10},
@@ -68,5 +86,5 @@ LATIN = Rules(
     confidence={"official": 98, "press": 75, "other": 40}, status_priority={"new": 1.0, "ongoing": 1.0, "resolved": 0.0, "unverified": 0.65}, status_confidence={"new": 1.0, "ongoing": 1.0, "resolved": 1.0, "unverified": 0.65},
     category_terms={"notice": ["copyright", "license", "rights"], "weather": ["heit", "ung", "keit"], "market": ["ción", "mente", "que"], "company": ["tion", "ing"]},
     status_terms={"resolved": ["apache", "mit license"], "ongoing": ["ently", "lly"], "unverified": ["cookie", "subscribe"]},
-    default_category="company", default_status="new", resolved=("resolved",), patterns={},
+    default_category="company", default_status="new", resolved=("resolved",), unverified="unverified", patterns={},
 )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.rules import Rules
+from ..functions.rules import Rules, ValueLexicon
 
 
 def _lookup(table: dict, key: Column, default) -> Column:
@@ -27,12 +27,9 @@ def _found(text: Column, terms, rules: Rules) -> Column:
 def suggest_category(text: Column, rules: Rules) -> Column:
     """The category with most matched terms, the earlier of ties; none matched: the default."""
     text = F.lower(text)
-    best = None
-    for i, (name, terms) in enumerate(rules.category_terms.items()):
-        count = sum((F.when(T.contains(text, t, rules.patterns), 1).otherwise(0) for t in terms), F.lit(0))
-        one = F.struct(count.alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
-        best = one if best is None else F.greatest(best, one)
-    return F.when(best.n > 0, best["name"]).otherwise(rules.default_category)
+    row = lambda n, order, name: F.struct(n.alias("n"), F.lit(order).alias("order"), F.lit(name).alias("name"))
+    found = [row(sum((F.when(T.contains(text, t, rules.patterns), 1).otherwise(0) for t in terms), F.lit(0)), -i, name) for i, (name, terms) in enumerate(rules.category_terms.items())]
+    return F.array_max(F.array(row(F.lit(0), 1, rules.default_category), *found))["name"]
 
 
 def suggest_status(text: Column, rules: Rules) -> Column:
@@ -46,16 +43,49 @@ def suggest_status(text: Column, rules: Rules) -> Column:
     return out
 
 
-def draft_events(documents: DataFrame, rules: Rules) -> DataFrame:
-    """A draft event for each document: its first line as title, at most 600 characters as summary, category, status, date."""
+def draft_events(documents: DataFrame, rules: Rules, source_type: Column, event_date: Column, related: Column) -> DataFrame:
+    """A draft event for each document: its first line as title, at most 600 characters as summary, category and status
+    of the whole text, and the given source type, date and related event. Null texts count as empty."""
     text = F.coalesce("text", F.lit(""))
-    summary = F.substr(text, F.lit(1), F.lit(600))
     return documents.select(
-        F.col("doc_id").alias("event_id"), F.substr(F.substring_index(text, "\n", 1), F.lit(1), F.lit(120)).alias("title"), summary.alias("summary"), F.lit("").alias("impact"),
-        suggest_category(summary, rules).alias("category"), suggest_status(summary, rules).alias("status"), "source",
-        F.when(F.col("source").isin("src0", "src1"), "official").when(F.col("source").isin("src2", "src3", "src4"), "press").otherwise("other").alias("source_type"),
-        F.date_add(F.lit("2026-01-01").cast("date"), F.pmod("doc_id", F.lit(28)).cast("int")).alias("event_date"),
-        F.when(F.pmod("doc_id", F.lit(5)) == 0, F.col("doc_id") - 1).alias("related_event_id"),
+        F.col("doc_id").alias("event_id"), F.substr(F.substring_index(text, "\n", 1), F.lit(1), F.lit(120)).alias("title"), F.substr(text, F.lit(1), F.lit(600)).alias("summary"), F.lit("").alias("impact"),
+        suggest_category(text, rules).alias("category"), suggest_status(text, rules).alias("status"), "source", source_type.alias("source_type"), event_date.alias("event_date"), related.alias("related_event_id"),
+    )
+
+
+def suggested_action(rules: Rules, actions: dict[str, str], urgent: dict[str, str]) -> Column:
+    """What to do about a scored event, the first rule that holds: resolved, unverified, high risk (of a category with an
+    action of its own, or any), high opportunity, medium risk, or nothing. actions: by those names; urgent: by category."""
+    high = _lookup(urgent, F.col("category"), actions["high_risk"])
+    return (
+        F.when(F.col("status").isin(*rules.resolved), actions["resolved"]).when(F.col("status") == rules.unverified, actions["unverified"]).when(F.col("risk_level") == "高", high)
+        .when(F.col("opportunity_level") == "高", actions["high_opportunity"]).when(F.col("risk_level") == "中", actions["medium_risk"]).otherwise(actions["none"])
+    )
+
+
+def urgency(rules: Rules) -> Column:
+    """resolved, or the urgency of the risk level: day, period or watch."""
+    return F.when(F.col("status").isin(*rules.resolved), "resolved").when(F.col("risk_level") == "高", "day").when(F.col("risk_level") == "中", "period").otherwise("watch")
+
+
+def business_value(lexicon: ValueLexicon) -> Column:
+    """A struct (value, rule, hits) of title, summary, impact and category: the first of eight rules that holds.
+
+    A title of mere activity, without an operational term, is low whatever the text says; so is activity without a term
+    of high impact. Then categories of safety and any term of high impact are high, categories of trade with a business
+    term too, and whatever else has a business term is medium; the rest is unrelated. hits: at most four of the terms.
+    """
+    title, text = F.coalesce("title", F.lit("")), F.concat_ws("\n", "title", "summary", "impact")
+    hits = lambda x, terms: F.array_compact(F.array(*[F.when(F.contains(x, F.lit(t)), F.lit(t)) for t in terms]))
+    low, high, business = hits(text, lexicon.activity), hits(text, lexicon.impact), hits(text, lexicon.business)
+    title_low, title_high = hits(title, lexicon.activity), hits(title, [t for t in lexicon.impact if t not in lexicon.weather])
+    rule = lambda value, name, found, n: F.struct(F.lit(value).alias("value"), F.lit(name).alias("rule"), F.array_join(F.slice(found, 1, n), "、").alias("hits"))
+    some = lambda x: F.size(x) > 0
+    return (
+        F.when(some(title_low) & ~some(title_high), rule("低", "activity_title", title_low, 3)).when(some(low) & ~some(high), rule("低", "activity", low, 3))
+        .when(F.col("category").isin(*lexicon.safety) | some(high), rule("高", "impact", high, 4)).when(F.col("category").isin(*lexicon.trade) & some(business), rule("高", "trade", business, 4))
+        .when((F.col("category") == lexicon.policy) & some(business), rule("中", "policy", business, 4)).when((F.col("category") == lexicon.company) & some(business), rule("中", "company", business, 4))
+        .when(some(business), rule("中", "business", business, 4)).otherwise(rule("无关", "none", F.array().cast("array<string>"), 4))
     )
 
 
