@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, discard, kept, scratch, stored
 
 #: Slots of the table of frequent tokens, at most how many of these it holds, and how many slots stand in one row while it is put together.
-SLOTS, FREQUENT, BLOCK = 1 << 20, 1 << 18, 1 << 10
+SLOTS, FREQUENT, BLOCK = 1 << 19, 1 << 17, 1 << 10
 LEVELS = 4  # levels of rarity for each doubling of the count
 PLACE = ["doc_id", "line_no"]
 #: Bits of the table that says which lines are named in a pair; the tokens of others don't move.

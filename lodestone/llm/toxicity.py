@@ -139,8 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, **options) ->
     ids = sorted((r.doc_id, r.toxic) for r in known.collect())  # at most `sample` pairs of integers
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_term_rows, "doc_id long, toxic int, terms array<int>")
-    got = rows.toArrow().sort_by("doc_id").to_pydict() if ids else {"terms": [], "toxic": []}
-    return fit([np.array(x, np.int64) for x in got["terms"]], np.array(got["toxic"], float), **options)
+    got = rows.toArrow().sort_by("doc_id")
+    if not ids or not got.num_rows:
+        return fit([], np.empty(0), **options)
+    terms = got.column("terms").combine_chunks()  # numbers stay in Arrow's own arrays: as Python objects they would take a multiple of the memory
+    values, ends = terms.values.to_numpy(), terms.offsets.to_numpy()
+    return fit([values[i:j].astype(np.int64) for i, j in zip(ends, ends[1:], strict=False)], got.column("toxic").to_numpy().astype(float), **options)
 
 
 def score_with(docs: DataFrame, machine: Machine, text: str = "text") -> Column:
