@@ -135,12 +135,21 @@ def _parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _long_parity(s: np.ndarray) -> bytes | None:
+    """The same of at least 2 * len(s) bits, a power of two, for sets too large for PARITY to tell apart; else None."""
+    if 2 * len(s) <= 64 * len(PARITY):
+        return None
+    size = 1 << (2 * len(s) - 1).bit_length()
+    return np.packbits((np.bincount((s & U64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
 def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t) for t in texts_of(batch)]
         parity = np.array([_parity(s) for s in sets]).reshape(len(sets), len(PARITY))
         columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, parity.T)], ["doc_id", "n_shingles", "set_key", *PARITY])
+        columns.append(pa.array([_long_parity(s) for s in sets], pa.binary()))
+        yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, parity.T)], ["doc_id", "n_shingles", "set_key", "bits", *PARITY])
 
 
 def _may_link(u: str, v: str) -> Column:
@@ -150,6 +159,18 @@ def _may_link(u: str, v: str) -> Column:
     return (4 * F.greatest(nu, nv) <= 5 * F.least(nu, nv)) & (SHARE * differ <= nu + nv)
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose long parities allow the similarity, or of which one set has none; a longer parity folds onto a shorter one."""
+    for batch in batches:
+        keep = []
+        for nu, nv, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            if x is not None and y is not None:
+                x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+                differ = int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+            keep.append(x is None or y is None or SHARE * differ <= nu + nv)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in texts_of(batch)], pa.binary())], ["id", "elements"])
@@ -176,7 +197,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose sets, made again from the whole texts, reach the similarity."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     sets = stored(docs.join(ids, docs.doc_id == ids.id, "left_semi").mapInArrow(_set_rows, "id long, elements binary"), "shingle-sets")
-    return stored(_with(pairs, sets, ["elements"]).mapInArrow(_linked, "u long, v long").distinct(), "links")
+    links = stored(_with(pairs, sets, ["elements"]).mapInArrow(_linked, "u long, v long").distinct(), "links")
+    discard(sets)
+    return links
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -190,7 +213,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     and then among the blocks' first ones, so a large group of copies gives a star and not all pairs. Where a
     signature's documents are then still in several components, all pairs across these are compared: nothing
     that shares a signature is left out, and whatever links shares one. Sizes and parity bits bound the similarity
-    as a condition of that join, so pairs that can't link leave no rows; the others' texts are read again.
+    as a condition of that join, so pairs that can't link leave no rows; parities of a length that follows the set do
+    the same for large sets, before the others' texts are read again.
 
     Null and empty texts, and texts of white space, have n_shingles 0 and component_id = doc_id. A null doc_id
     links with nothing and has a null component. Rows that repeat a doc_id link as one document when either
@@ -198,11 +222,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """
     with scratch(docs.sparkSession):
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        members = stored(docs.mapInArrow(_member_rows, "doc_id long, n_shingles long, set_key binary, " + ", ".join(f"{p} long" for p in PARITY)), "members")
+        members = stored(docs.mapInArrow(_member_rows, "doc_id long, n_shingles long, set_key binary, bits binary, " + ", ".join(f"{p} long" for p in PARITY)), "members")
         full = members.where("doc_id is not null and n_shingles > 0")
-        classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(p).alias(p) for p in PARITY]), "classes")
+        classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), *[F.first(p).alias(p) for p in PARITY]), "classes")
         reps = stored(full.select("set_key", "doc_id").join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("id"), "rep").distinct(), "representatives")
-        sets = classes.select(F.col("rep").alias("id"), "n", *PARITY)
+        sets, long = (classes.select(F.col("rep").alias("id"), "n", *columns) for columns in (PARITY, ["bits"]))
 
         rows = docs.mapInArrow(_signature_rows, "sig long, a long, b long")
         first = F.min("a").over(Window.partitionBy("sig", "b"))  # the blocks' first ones, with b null, meet; pairs of a block only each other
@@ -213,7 +237,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         named = stored(named.where("a_rep <> b_rep").select("sig", F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v")).distinct(), "signature-pairs")
         discard(shared)
 
-        stars = stored(_with(named.select("u", "v").distinct(), sets, ["n", *PARITY]).where(_may_link("u_", "v_")).select("u", "v"), "star-pairs")
+        stars = _with(named.select("u", "v").distinct(), sets, ["n", *PARITY]).where(_may_link("u_", "v_")).select("u", "v")
+        stars = stored(_with(stars, long, ["n", "bits"]).mapInArrow(_near, "u long, v long"), "star-pairs")
         one = stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
         links = _verified(one, docs)
         labels = components(links)
@@ -226,7 +251,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         rest = stored(inside.join(several, "sig", "left_semi"), "open-signatures").join(sets, "id")
         u, v = rest.alias("u"), rest.alias("v")
         pairs = u.join(v, F.expr("u.sig = v.sig AND u.id < v.id AND u.component <> v.component") & _may_link("u.", "v."))
-        pairs = stored(pairs.select(F.col("u.id").alias("u"), F.col("v.id").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"), "open-pairs")
+        pairs = pairs.select(F.col("u.id").alias("u"), F.col("v.id").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+        pairs = stored(_with(pairs, long, ["n", "bits"]).mapInArrow(_near, "u long, v long"), "open-pairs")
         if not pairs.isEmpty():
             labels = components(links.union(_verified(pairs, docs)))
 

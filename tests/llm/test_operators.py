@@ -82,6 +82,28 @@ def test_jaccard_classes_equal_brute_force(docs, rows):
     assert jaccard_join.keep_one_of_class(docs).columns == docs.columns
 
 
+def test_jaccard_classes_of_large_sets(spark):
+    """Sets on both sides of the size from which long parities bound the similarity, near and beyond 0.8."""
+    rng = random.Random(3)
+    out = []
+    for k, n in enumerate((500, 515, 1020, 1100, 2600)):
+        base = words(rng, n, 100_000)
+        for j, edits in enumerate((0, n // 60, n // 45, n // 20)):
+            w = list(base)
+            for at in rng.sample(range(n), edits):
+                w[at] = f"y{rng.randrange(10**6)}"
+            out.append((10 * k + j, " ".join(w)))
+        out.append((10 * k + 4, " ".join(base + words(rng, n // 5, 100_000))))
+    sets = {i: set(zip(*(t.split()[s:] for s in range(5)), strict=False)) for i, t in out}
+    best = {i: min(j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+    want = {i: best[best[i]] for i in sets}
+    assert len(set(want.values())) < len(want) - 5 and any(i == c for i, c in want.items() if i % 10)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    assert got == want
+    s = [np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)) for n in (512, 513, 3000)]
+    assert [x and 8 * len(x) for x in map(jaccard_join._long_parity, s)] == [None, 2048, 8192]
+
+
 def test_windows_cover_all_pairs_of_sizes():
     edge, plan = np.array(jaccard_join.bands(3000)), jaccard_join.windows(3000)
     for a in range(1, 1200):
