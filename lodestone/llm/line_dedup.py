@@ -113,7 +113,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
     A table of fixed size says which lines may be named, so that the tokens of most others stay where they are.
     """
-    pairs = stored(pairs, "line-pairs")
+    pairs = both = stored(pairs, "line-pairs")
     named = pairs.select(*ENDS[:2]).union(pairs.select(*ENDS[2:])).toDF(*PLACE)
     word, bit = _bit(F.col("doc_id"), F.col("line_no"))
     words = named.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
@@ -125,7 +125,10 @@ def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.join(sets.toDF(*columns, f"{side}_tokens"), columns)
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     alike = pairs.where(100 * shared >= percent * (F.size("a_tokens") + F.size("b_tokens") - shared))
-    return stored(alike.select(*ENDS[2:]).toDF(*PLACE).distinct(), "settled-lines")
+    found = stored(alike.select(*ENDS[2:]).toDF(*PLACE).distinct(), "settled-lines")
+    discard(both)
+    discard(sets)
+    return found
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, crowd: int = 8, rounds: int = 3) -> DataFrame:
