@@ -29,15 +29,16 @@ def token_lines(docs: DataFrame) -> DataFrame:
     return sets.select(*PLACE, F.xxhash64("tokens").alias("node_a"), F.xxhash64(F.lit(1), "tokens").alias("node_b"), "tokens")
 
 
-def _listed(rows: DataFrame, index: str, value: str) -> str:
-    """The values of rows in the order of index, joined by commas; of bounded tables only."""
-    in_order = lambda key, x: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, x))), lambda r: r[x]), ",")
+def _listed(rows: DataFrame, index: str, value: str, label: str) -> DataFrame:
+    """One row with the values of rows in the order of index, an array; of tables of a fixed size only. A plan reads it as a
+    scalar subquery, so that neither the plan nor what the driver shows of it holds the values."""
+    in_order = lambda key, x: F.transform(F.sort_array(F.collect_list(F.struct(key, x))), lambda r: r[x])
     blocks = rows.groupBy(F.floor(F.col(index) / BLOCK).alias("block")).agg(in_order(index, value).alias("part"))
-    return blocks.agg(in_order("block", "part")).first()[0]
+    return stored(blocks.agg(F.flatten(in_order("block", "part")).alias("list")), label)
 
 
 def rarity(lines: DataFrame) -> str:
-    """For each slot of tokens 1 + LEVELS * log2 of the count of the most frequent token there, among the FREQUENT most frequent ones.
+    """A character for each slot of tokens 1 + LEVELS * log2 of the count of the most frequent token there, among the FREQUENT most frequent ones.
 
     Counts cover all lines. A slot without a frequent token, and so most rare tokens, has level 0. There are SLOTS
     levels whatever the corpus is; a rare token in the slot of a frequent one costs candidates but changes no result.
@@ -50,15 +51,16 @@ def rarity(lines: DataFrame) -> str:
         if held > FREQUENT:
             break
         least = row.level
-    frequent = counts.where(level >= least).select(F.col("token").bitwiseAND(SLOTS - 1).alias("slot"), level.alias("level"))
-    every = frequent.union(lines.sparkSession.range(SLOTS).select("id", F.lit(0)))
-    return _listed(every.groupBy("slot").agg(F.max("level").alias("level")), "slot", "level")
+    frequent = counts.where(level >= least).select(F.col("token").bitwiseAND(SLOTS - 1).alias("slot"), level.cast("tinyint").alias("level"))
+    every = frequent.union(lines.sparkSession.range(SLOTS).select("id", F.lit(0).cast("tinyint")))
+    table = _listed(every.groupBy("slot").agg(F.max("level").alias("level")), "slot", "level", "levels")
+    return table.select(F.array_join(F.transform("list", lambda x: F.char(x + 1)), "")).first()[0]
 
 
 def _ranked(tokens: str, levels: str) -> Column:
     """Tokens with their level in the upper byte, rarest first."""
-    table = F.split(F.lit(levels), ",").cast("array<tinyint>")
-    level = lambda t: F.get(table, t.bitwiseAND(SLOTS - 1).cast("int")).cast("long")
+    table = F.lit(levels).cast("binary")  # a lambda takes no subquery; of bytes one is found at once, of characters by counting
+    level = lambda t: (F.ascii(F.substring(table, t.bitwiseAND(SLOTS - 1).cast("int") + 1, F.lit(1)).cast("string")) - 1).cast("long")
     return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(level(t), 56).bitwiseOR(t.bitwiseAND((1 << 56) - 1))))
 
 
@@ -118,8 +120,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     word, bit = _bit(F.col("doc_id"), F.col("line_no"))
     words = named.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
     every = words.union(pairs.sparkSession.range(BITS // 64).select("id", F.lit(0).cast("long")))
-    table = F.split(F.lit(_listed(every.groupBy("word").agg(F.bit_or("bits").alias("bits")), "word", "bits")), ",").cast("array<bigint>")
-    maybe = F.call_function("shiftright", F.get(table, word.cast("int")), bit).bitwiseAND(1) == 1
+    table = _listed(every.groupBy("word").agg(F.bit_or("bits").alias("bits")), "word", "bits", "named-bits")
+    maybe = F.call_function("shiftright", F.get(table.scalar(), word.cast("int")), bit).bitwiseAND(1) == 1
     sets = stored(lines.where(maybe).select(*PLACE, "tokens"), "named-lines")
     for side, columns in (("a", ENDS[:2]), ("b", ENDS[2:])):
         pairs = pairs.join(sets.toDF(*columns, f"{side}_tokens"), columns)
@@ -128,6 +130,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     found = stored(alike.select(*ENDS[2:]).toDF(*PLACE).distinct(), "settled-lines")
     discard(both)
     discard(sets)
+    discard(table)
     return found
 
 
