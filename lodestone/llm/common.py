@@ -102,6 +102,12 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever others are called (`Text` beside `text`, `a.b`)."""
+    placed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return placed.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
 def ascii_lower(column):
     """Lower-case A-Z only."""
     return F.translate(column, _UPPER, _UPPER.lower())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, jaccard_join, length_buckets, line_dedup, revisits, suffix_dedup, token_packing, toxicity, url_reputation
+from . import decontamination, embedding_dedup, exact_dedup, hard_negatives, jaccard_join, length_buckets, line_dedup, revisits, suffix_dedup, token_packing, toxicity, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -119,5 +119,33 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_buckets.length_buckets(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_packing, op2_exact_dedup, op3_url_reputation, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_revisits, op8_suffix_dedup, op9_line_dedup, op10_length_buckets)}
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_url_reputation": OP3_SQL, "op7_revisits": OP7_SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7 the label is that of the next class; anchors are the rows whose vec_id is divisible by 100."""
+    vectors = hard_negatives.quantised(_read(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+_FINITE_SQL = "label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+OP11_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE {_FINITE_SQL}),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> own AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE {_FINITE_SQL} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.w, r.root FROM r JOIN l ON l.u = r.id),
+n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u), c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON n.u = vec_id JOIN c ON c.id = vec_id"""
+
+
+QUERIES = {f.__name__: f for f in (op1_token_packing, op2_exact_dedup, op3_url_reputation, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_revisits, op8_suffix_dedup, op9_line_dedup, op10_length_buckets, op11_hard_negatives, op13_embedding_dedup)}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_url_reputation": OP3_SQL, "op7_revisits": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_embedding_dedup": OP13_SQL}
