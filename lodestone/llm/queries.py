@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, exact_dedup, hard_negatives, jaccard_join, length_buckets, line_dedup, revisits, suffix_dedup, token_packing, toxicity, url_reputation
+from . import alignment, decontamination, embedding_dedup, exact_dedup, hard_negatives, jaccard_join, length_buckets, line_dedup, revisits, suffix_dedup, token_packing, toxicity, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -135,6 +135,10 @@ SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, posit
 FROM p JOIN s USING (anchor_id) WHERE label <> own AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(_read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
 
@@ -147,5 +151,5 @@ n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u), c AS (SELECT id, min(roo
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON n.u = vec_id JOIN c ON c.id = vec_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_packing, op2_exact_dedup, op3_url_reputation, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_revisits, op8_suffix_dedup, op9_line_dedup, op10_length_buckets, op11_hard_negatives, op13_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_packing, op2_exact_dedup, op3_url_reputation, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_revisits, op8_suffix_dedup, op9_line_dedup, op10_length_buckets, op11_hard_negatives, op12_alignment, op13_embedding_dedup)}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_url_reputation": OP3_SQL, "op7_revisits": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_embedding_dedup": OP13_SQL}
