@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.closure import closure
+
 U64 = np.uint64
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _own_dir: dict[str, str] = {}
@@ -99,6 +101,7 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     scopes = _open.__dict__.get("scopes", [])
     if len(scopes) > 1:
         scopes[-2].append(path)
+    out.stored_at = path
     return out
 
 
@@ -159,11 +162,12 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 8) -> DataFrame:
     """(id, component) for the ids of edges (u, v): the smallest id that is reachable.
 
     Each round takes the smallest label among the neighbours and then the label of that label, so long
-    chains halve. Rounds are written to the shared folder. Joins on hot labels are left to AQE, which splits them.
+    chains often halve. Rounds are written to the shared folder. Joins on hot labels are left to AQE, which splits them. What
+    hasn't settled after `rounds`, such as long chains of ids in no order, is left to closure(), whose rounds halve any graph.
     """
     both = stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
     labels = stored(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
@@ -176,4 +180,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if labels.where("component <> was").isEmpty():
             return labels.select("id", "component")
         labels = labels.select("id", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return closure(both, "u", "v").withColumnRenamed("root", "component")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import window_hashes, word_hashes
+from .common import U64, only, stored, window_hashes, word_hashes
+
+MASK = (1 << 64) - 1
 
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 HITS = "array<struct<item_id: bigint, coverage: double, n_tiles: int>>"
@@ -20,38 +20,72 @@ def plain_words(text: bytes) -> np.ndarray:
     return word_hashes(text.lower().translate(_SPACED).split())
 
 
-def greedy_tiles(doc_at: np.ndarray, item_at: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Tiles (doc start, item start, words) from the positions whose `seed` words are equal.
+def _runs(at: np.ndarray) -> np.ndarray:
+    """For each of the sorted places how many follow each other from it on, itself included."""
+    if not len(at):
+        return at
+    ends = np.append(np.flatnonzero(np.diff(at) != 1), len(at) - 1)
+    return ends[np.searchsorted(ends, np.arange(len(at)))] - np.arange(len(at)) + 1
+
+
+BASE = 0xD6E8FEB86659FD93
+
+
+def rolled(words: np.ndarray) -> np.ndarray:
+    """Rolling sums: sums[i + n] - sums[i] * BASE^n is the hash of n words from i on, modulo 2^64."""
+    out, total = [0], 0
+    for w in words.tolist():
+        total = (total * BASE + w) & MASK
+        out.append(total)
+    return np.array(out, U64)
+
+
+def greedy_tiles(doc: np.ndarray, item: np.ndarray, seed: int, doc_at: np.ndarray | None = None, item_at: np.ndarray | None = None, doc_sums: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Tiles (doc start, item start, words): the longest run of equal words that are unmarked on both sides is marked, again and again,
+    down to `seed` words. Ties: the earliest in the document, then in the item.
 
-    Equal windows that follow each other on a diagonal are one maximal match. The longest match whose words are
-    unmarked on both sides is marked, again and again; one that is partly marked goes back as its unmarked runs
-    of at least `seed` words. Ties: the earliest in the document, then in the item.
+    Running Karp-Rabin: for each length from the longest possible one down, the rolling hashes of the item's unmarked windows are
+    looked up for those of the document, and what matches is compared word by word before it is marked. doc_at, item_at: where windows of `seed` words
+    start that the other side has too (all, if not given), sorted. Work for one length follows the number of these, however often words repeat.
     """
-    order = np.lexsort((doc_at, doc_at - item_at))
-    d, t = doc_at[order], item_at[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 1) | (np.diff(t) != 1)]))
-    sizes = np.diff(np.concatenate([new, [len(d)]])) + seed - 1
-    heap = [(-int(n), int(a), int(b)) for a, b, n in zip(d[new], t[new], sizes, strict=True)]
-    heapq.heapify(heap)
-    used_d: set[int] = set()
-    used_t: set[int] = set()
+    every = lambda words: np.arange(max(0, len(words) - seed + 1))
+    d_sums, t_sums = rolled(doc) if doc_sums is None else doc_sums, rolled(item)
+    d_at, t_at = every(doc) if doc_at is None else doc_at, every(item) if item_at is None else item_at
+    d_used, t_used = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     tiles = []
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        free = [a + k not in used_d and b + k not in used_t for k in range(-n)]
-        if all(free):
-            tiles.append((a, b, -n))
-            used_d.update(range(a, a - n))
-            used_t.update(range(b, b - n))
+    size = min(int(_runs(d_at).max(initial=0)), int(_runs(t_at).max(initial=0))) + seed - 1
+    while size >= seed:
+        d, t = (at[_runs(at) > size - seed] for at in (d_at, t_at))
+        if not len(d) or not len(t):
+            size -= 1
             continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= seed:
-                    heapq.heappush(heap, (start - k, a + start, b + start))
-                start = None
+        power = U64(pow(BASE, size, MASK + 1))
+        d_hash, t_hash = (sums[at + size] - sums[at] * power for sums, at in ((d_sums, d), (t_sums, t)))
+        order = np.argsort(t_hash, kind="stable")
+        sorted_, marked = t_hash[order], False
+        low, high = np.searchsorted(sorted_, d_hash, "left"), np.searchsorted(sorted_, d_hash, "right")
+        free = {int(x): int(x) for x in np.unique(low[high > low])}  # of each hash the first place in the item that may be unmarked
+        for i in np.flatnonzero(high > low).tolist():
+            a = int(d[i])
+            if d_used[a] or d_used[a + size - 1]:  # marks are made in whole tiles of this size or more, so the ends tell
+                continue
+            k = free[int(low[i])]
+            while k < high[i]:
+                b = int(t[order[k]])
+                if t_used[b] or t_used[b + size - 1]:
+                    k += 1  # stays marked, so it is passed for good
+                    if free[int(low[i])] == k - 1:
+                        free[int(low[i])] = k
+                elif (doc[a : a + size] == item[b : b + size]).all():
+                    d_used[a : a + size] = t_used[b : b + size] = marked = True
+                    tiles.append((a, b, size))
+                    break
+                else:
+                    k += 1
+        if marked:
+            whole = lambda at, used: at[np.convolve(used, np.ones(seed, np.int64))[seed - 1 : len(used)][at] == 0]  # noqa: E731  windows without a mark
+            d_at, t_at = whole(d_at, d_used), whole(t_at, t_used)
+        size = min(size - 1, min(int(_runs(d_at).max(initial=0)), int(_runs(t_at).max(initial=0))) + seed - 1)
     return tiles
 
 
@@ -64,8 +98,9 @@ class Items:
         keys = np.concatenate([np.empty(0, np.uint64), *windows])
         owner = np.repeat(np.arange(len(rows)), [len(w) for w in windows])
         place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(w)) for w in windows]])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.place = keys[order], owner[order], place[order]
+        order = np.lexsort((owner, keys))
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.bounds, self.owner, self.place = np.append(first, len(keys)), owner[order], place[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.short = [i for i, w in enumerate(self.words) if 0 < len(w) < seed]
@@ -81,21 +116,25 @@ class Items:
         windows = window_hashes(words, self.seed)
         at = np.flatnonzero(self.maybe[(windows & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if len(at) and len(self.keys):
-            lo, hi = np.searchsorted(self.keys, windows[at], "left"), np.searchsorted(self.keys, windows[at], "right")
-            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            if len(at):
-                doc_at = np.repeat(at, n)
-                which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                owner, place = self.owner[which], self.place[which]
-                for i in np.unique(owner).tolist():
-                    mine, size = owner == i, len(self.words[i])
-                    covered = np.unique(place[mine][:, None] + np.arange(self.seed)).size  # no tiling covers more
-                    if covered < least * size:
-                        continue
-                    tiles = greedy_tiles(doc_at[mine], place[mine], self.seed)
-                    share = sum(t[2] for t in tiles) / size
-                    if share >= least:
-                        found.append((self.ids[i], share, len(tiles)))
+            key = np.searchsorted(self.keys, windows[at])
+            there = self.keys[np.minimum(key, len(self.keys) - 1)] == windows[at]
+            at, key = at[there], key[there]
+            seen = np.unique(key)  # each window that repeats is looked up once
+            n = self.bounds[seen + 1] - self.bounds[seen]
+            which = np.repeat(self.bounds[seen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            by = np.argsort(self.owner[which], kind="stable")
+            owner, place, of = self.owner[which][by], self.place[which][by], np.repeat(seen, n)[by]
+            sums = None
+            for i in np.unique(owner).tolist():
+                mine, size = slice(*np.searchsorted(owner, [i, i + 1])), len(self.words[i])
+                covered = np.unique(place[mine][:, None] + np.arange(self.seed)).size  # no tiling covers more
+                if covered < least * size:
+                    continue
+                sums = rolled(words) if sums is None else sums
+                tiles = greedy_tiles(words, self.words[i], self.seed, at[np.isin(key, of[mine])], np.sort(place[mine]), sums)
+                share = sum(t[2] for t in tiles) / size
+                if share >= least:
+                    found.append((self.ids[i], share, len(tiles)))
         return sorted(found)
 
 
@@ -108,20 +147,24 @@ def _hits_column(held, least: float, text: str) -> Column:
     return hits(F.col(text))
 
 
-def contamination(benchmark: DataFrame, least: float = 0.5, seed: int = 4, block_bytes: int = 16_000_000, text: str = "text") -> Column:
-    """A column: the benchmark items that `text` covers by at least `least`, as an array of (item_id, coverage, n_tiles).
+def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", least: float = 0.5, seed: int = 4, block_bytes: int = 16_000_000, text: str = "text") -> DataFrame:
+    """docs with a column of the benchmark items that `text` covers by at least `least`, as an array of (item_id, coverage, n_tiles).
 
-    The benchmark is the query set: it is taken in blocks of about block_bytes of text, each broadcast by itself,
-    so what a task holds is bounded whatever its size.
+    The benchmark is the query set: it is taken in blocks of about block_bytes of text. Each block is broadcast for a pass of its own,
+    whose result is stored before the next one, so what the driver and a task hold is bounded whatever its size; one block needs no storing.
     """
+    benchmark = only(benchmark, "item_id", "text")
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, spark = int(total // block_bytes) + 1, benchmark.sparkSession
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    columns = []
+    out = docs
     for k in range(blocks):
         rows = sorted((r.item_id, r.text) for r in benchmark.where(part == k).where("item_id is not null and text is not null").select("item_id", "text").distinct().collect())
-        columns.append(_hits_column(spark.sparkContext.broadcast(Items(rows, seed)), least, text))
-    return columns[0] if blocks == 1 else F.concat(*columns)
+        found = _hits_column(spark.sparkContext.broadcast(Items(rows, seed)), least, text)
+        out = out.withColumn(name, F.concat(name, found) if k else found)
+        if k < blocks - 1:
+            out = stored(out, "hits")
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -134,11 +177,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     with fewer words than `seed` must occur whole; an item that repeats is named once; a null doc_id stays null;
     repeated rows are judged each; other columns are not read; an empty table gives no rows.
     """
-    found = docs.select("doc_id", contamination(benchmark, **options).alias("hits"))
+    found = with_hits(only(docs, "doc_id", "text"), benchmark, **options)
     best = F.array_max(F.transform("hits", lambda h: F.struct(h.coverage, (-h.n_tiles).alias("fewer"))))
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.array_distinct(F.transform("hits", lambda h: h.item_id)).alias("item_ids"), F.coalesce(best.coverage, F.lit(0.0)).alias("coverage"), F.coalesce(-best.fewer, F.lit(0)).alias("n_tiles"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, that cover no benchmark item."""
-    return docs.where(F.size(contamination(benchmark, **options)) == 0)
+    """The rows of docs (text, and any other columns) that cover no benchmark item, with all their columns. Null and empty texts stay; repeated
+    rows are judged each; an empty table gives no rows; an empty benchmark drops nothing."""
+    placed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    found = with_hits(placed, benchmark, text=f"c{docs.columns.index('text')}", **options)
+    return found.where(F.size("hits") == 0).drop("hits").toDF(*docs.columns)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import kept, only, scratch, stored, texts_of
 
 #: Bytes: a cut is made where the rolling hash says so, at least MIN and at most MAX after the last one.
 MIN_CHUNK, MAX_CHUNK, MASK = 512, 16384, np.uint32((1 << 11) - 1)
@@ -95,9 +95,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     unless all of its group are null, when keep_id is null and none is kept. Rows that repeat a doc_id and its
     text count in group_size and are marked alike. Other columns are not read. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    recipes = stored(chunk_recipes(docs, verified_seed(docs)), "recipes")
-    groups = stored(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups")
-    return recipes.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", (F.length("recipe") / 16).cast("int").alias("n_chunks")
-    )
+    docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch(docs.sparkSession):
+        recipes = stored(chunk_recipes(docs, verified_seed(docs)), "recipes")
+        groups = stored(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups")
+        out = recipes.join(groups, "recipe").select(
+            "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", (F.length("recipe") / 16).cast("int").alias("n_chunks")
+        )
+        return kept(out, "exact-groups")

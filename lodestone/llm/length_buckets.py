@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import only
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,7 +79,7 @@ def length_buckets(docs: DataFrame, buckets: int = 16, budget: int = 32768, leng
     rows; ties are ordered by a hash of the row. Other columns are not read. An empty table gives no rows.
     """
     count = (word_count(F.col("text")) if length is None else F.coalesce(length, F.lit(0))).cast("long")
-    lengths = docs.select("doc_id", count.alias("n_tokens"))
+    lengths = (only(docs, "doc_id", "text") if length is None else docs).select("doc_id", count.alias("n_tokens"))
     bins = sorted(histogram(lengths).collect())  # bounded: see histogram
     longest, n = np.array([b.longest for b in bins]), np.array([b.n for b in bins])
     bounds = optimal_boundaries(longest, n, buckets)

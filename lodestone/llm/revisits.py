@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import only
+
 #: The headers that a 304 answer may carry for the stored response (RFC 9110, 15.4.5), and Last-Modified.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Fixed value: query parameters that only track, as a pattern of their names.
@@ -50,6 +52,7 @@ def resolve_revisits(records: DataFrame, slice_rows: int = 200_000) -> DataFrame
     never match (such revisits get no_earlier_response). Null headers are empty. Repeated rows are resolved
     each. Other columns are not read. An empty table gives no rows.
     """
+    records = only(records, "record_id", "url", "ts", "status", "headers", "payload_digest")
     rows = records.where(F.col("status").isin(200, 304)).select(
         "record_id", F.coalesce(canonical_url(F.col("url")), F.lit("")).alias("url_key"), F.col("ts").cast("long").alias("ts"), (F.col("status") == 304).alias("revisit"), plain_headers(F.col("headers")).alias("own"), "payload_digest"
     )

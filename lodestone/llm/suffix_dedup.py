@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, mixed, signed, stored, texts_of, window_hashes, word_hashes, words_of
+from .common import U64, kept, mixed, only, scratch, signed, stored, texts_of, window_hashes, word_hashes, words_of
 
 #: Words: the least passage; the k-gram that minimisers are chosen by; how many k-grams compete for each.
 PASSAGE, GRAM, REACH = 50, 8, 24
@@ -196,24 +196,25 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows; rows that repeat a doc_id are one document, and a passage of it isn't repeated by that. Other columns
     are not read. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(docs.mapInArrow(_suffix_rows, "seed long, context long, doc_id long, pos int"), "suffixes")
-    order = ["seed", "context", "doc_id", "pos"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = stored(ranged.mapInArrow(_neighbours, "a long, a_pos int, b long, b_pos int"), "suffix-neighbours")
-    wanted = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.collect_set("a_pos").alias("wanted"))
-    held = docs.join(wanted, docs.doc_id == wanted.id).dropDuplicates(["doc_id"]).select("doc_id", "text", "wanted")
-    windows = held.mapInArrow(_window_rows, "key long, doc_id long, start int, b long, b_pos int")
-    before = F.lag(F.struct("doc_id", "start")).over(Window.partitionBy("key", "b", "b_pos").orderBy("doc_id", "start"))  # the blocks' first places, with b null, meet
-    again = windows.withColumn("before", before).select(F.coalesce("b", "before.doc_id").alias("a"), F.coalesce("b_pos", "before.start").alias("a_pos"), F.col("doc_id").alias("b"), F.col("start").alias("b_pos"))
-    pairs = found.where("b IS NOT NULL").unionByName(again.where("a IS NOT NULL"))
-    pairs = pairs.where("a <> b OR a_pos <> b_pos").groupBy("a", "b", (F.col("b_pos") - F.col("a_pos")).alias("shift")).agg(F.sort_array(F.collect_set("a_pos")).alias("at"))
-    pairs = stored(pairs, "diagonals")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(docs.join(ids, docs.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]), "passage-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    spans = both.select("a", "b", "shift", "at", "a_text", "b_text").mapInArrow(_extended, "doc_id long, start int, end int, later boolean")
-    spans = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("all"), F.collect_list(F.when(F.col("later"), F.struct("start", "end"))).alias("copies"))
-    spans = spans.select("doc_id", _united(F.col("all"), "spans"), _united(F.col("copies"), "later"))
-    return spans.select("doc_id", F.aggregate("spans", F.lit(0), lambda n, s: n + s.end - s.start).alias("n_repeated"), "spans", "later")
+    docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch(docs.sparkSession):
+        rows = stored(docs.mapInArrow(_suffix_rows, "seed long, context long, doc_id long, pos int"), "suffixes")
+        order = ["seed", "context", "doc_id", "pos"]
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        found = stored(ranged.mapInArrow(_neighbours, "a long, a_pos int, b long, b_pos int"), "suffix-neighbours")
+        wanted = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.collect_set("a_pos").alias("wanted"))
+        held = docs.join(wanted, docs.doc_id == wanted.id).dropDuplicates(["doc_id"]).select("doc_id", "text", "wanted")
+        windows = held.mapInArrow(_window_rows, "key long, doc_id long, start int, b long, b_pos int")
+        before = F.lag(F.struct("doc_id", "start")).over(Window.partitionBy("key", "b", "b_pos").orderBy("doc_id", "start"))  # the blocks' first places, with b null, meet
+        again = windows.withColumn("before", before).select(F.coalesce("b", "before.doc_id").alias("a"), F.coalesce("b_pos", "before.start").alias("a_pos"), F.col("doc_id").alias("b"), F.col("start").alias("b_pos"))
+        pairs = found.where("b IS NOT NULL").unionByName(again.where("a IS NOT NULL"))
+        pairs = pairs.where("a <> b OR a_pos <> b_pos").groupBy("a", "b", (F.col("b_pos") - F.col("a_pos")).alias("shift")).agg(F.sort_array(F.collect_set("a_pos")).alias("at"))
+        pairs = stored(pairs, "diagonals")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        texts = stored(docs.join(ids, docs.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]), "passage-texts")
+        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+        spans = both.select("a", "b", "shift", "at", "a_text", "b_text").mapInArrow(_extended, "doc_id long, start int, end int, later boolean")
+        spans = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("all"), F.collect_list(F.when(F.col("later"), F.struct("start", "end"))).alias("copies"))
+        spans = spans.select("doc_id", _united(F.col("all"), "spans"), _united(F.col("copies"), "later"))
+        return kept(spans.select("doc_id", F.aggregate("spans", F.lit(0), lambda n, s: n + s.end - s.start).alias("n_repeated"), "spans", "later"), "passages")

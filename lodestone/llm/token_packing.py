@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -11,10 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import only
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that the vocabulary's texts are split by before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
+#: Fixed value: Unicode's white space, in runs too long for the pattern.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 SCHEMA = "pack_id string, doc_ids array<long>, parts array<int>, cu_seqlens array<int>, n_tokens int, ids binary, positions binary"
 
 
@@ -71,6 +76,18 @@ def _ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
+def encode(encoding, text: str) -> list[np.ndarray]:
+    """The ids of a text, in parts. A long run of white space goes to the merges as the one piece that the pattern makes of it (all but its last
+    character if a word follows), since the pattern itself can't take it: its look-ahead stacks a step for each character."""
+    out, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out.append(encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        out.append(np.array(encoding._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    return [*out, encoding.encode_to_numpy(text[at:], disallowed_special=())]
+
+
 def pack_tokens(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY, end: int | None = END, block: int = 2_000_000) -> DataFrame:
     """Packed rows of `length` token ids: (pack_id, doc_ids, parts, cu_seqlens, n_tokens, ids, positions).
 
@@ -115,7 +132,7 @@ def pack_tokens(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULAR
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([encoding.encode_to_numpy(text or "", disallowed_special=()).astype(kind), tail])
+                ids = np.concatenate([*[x.astype(kind) for x in encode(encoding, text or "")], tail])
                 for k in range(0, len(ids), length):
                     pieces.append(ids[k : k + length])
                     names.append((doc_id, k // length))
@@ -127,7 +144,7 @@ def pack_tokens(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULAR
             yield packed()
 
     OUT = pa.schema([("pack_id", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary())])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

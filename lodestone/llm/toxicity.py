@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import only, texts_of
 
 BUCKETS = 1 << 20
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -134,11 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, **options) ->
 
     Of several labels of a document the largest counts; null labels and texts without an id are left out.
     """
-    known = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = only(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ids = sorted((r.doc_id, r.toxic) for r in known.collect())  # at most `sample` pairs of integers
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_term_rows, "doc_id long, toxic int, terms array<int>")
+    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_term_rows, "doc_id long, toxic int, terms array<int>")
     got = rows.toArrow().sort_by("doc_id")
     if not ids or not got.num_rows:
         return fit([], np.empty(0), **options)
@@ -166,11 +166,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     scored and not held out; repeated rows score alike; an empty table gives no rows; without labels of both
     kinds every score is the base rate. Other columns are not read.
     """
+    docs = only(docs, "doc_id", "text")
     machine = train(docs, labels, **options)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_with(docs, machine).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below 0.5."""
-    return docs.where(score_with(docs, train(docs, labels, **options)) < 0.5)
+    """The rows of docs (doc_id, text, and any other columns) whose text scores below 0.5, with all their columns.
+
+    Null and empty texts get what the bias says, which rejects them only where most labels are toxic; repeated rows and ties score alike; a null
+    doc_id is judged and not learnt from; an empty table gives no rows; without labels of both kinds the base rate decides.
+    """
+    machine, placed = train(docs, labels, **options), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return placed.where(score_with(docs, machine, f"c{docs.columns.index('text')}") < 0.5).toDF(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, kept, only, scratch, stored
 
 #: Labels that registries sell names under, so that they and the last label form the suffix.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -83,11 +83,13 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, most_bad: float = 0.5, z:
     outcomes of a page the worst counts; repeated rows each count. Other columns are not read. Hot hosts are
     counted map-side and their join is left to AQE. An empty table gives no rows.
     """
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    worst = outcomes.select("page_id", "bad").where("bad is not null").groupBy("page_id").agg(F.max("bad").cast("double").alias("bad"))
-    counts = urls.join(worst, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
-    known = stored(host_reputation(stored(counts, "hosts"), z), "reputation")
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return urls.join(known.select("host", "mean", "lower"), "host").select(
-        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("lower") > most_bad, "block").otherwise("allow")).alias("verdict"), "mean", "lower"
-    )
+    with scratch(pages.sparkSession):
+        urls = only(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+        worst = only(outcomes, "page_id", "bad").where("bad is not null").groupBy("page_id").agg(F.max("bad").cast("double").alias("bad"))
+        counts = urls.join(worst, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
+        known = stored(host_reputation(stored(counts, "hosts"), z), "reputation")
+        rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+        out = urls.join(known.select("host", "mean", "lower"), "host").select(
+            "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("lower") > most_bad, "block").otherwise("allow")).alias("verdict"), "mean", "lower"
+        )
+        return kept(out, "judged-pages")

@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
+import tiktoken
 
-from lodestone.llm import decontamination, exact_dedup, jaccard_join, length_buckets, line_dedup, queries, revisits, suffix_dedup, token_packing, toxicity, url_reputation
+from lodestone.llm import common, decontamination, exact_dedup, jaccard_join, length_buckets, line_dedup, queries, revisits, suffix_dedup, token_packing, toxicity, url_reputation
 from lodestone.llm.common import shingles, words_of
 
 DOCS = "doc_id long, text string, kept string"  # a clashing extra column
@@ -233,10 +236,100 @@ def test_passages_that_hold_a_frequent_line(spark):
 
 
 def test_greedy_tiles_take_the_longest_first():
-    item, doc = "a b c d e f g h i j".split(), "x f g h i j y a b c d e z a b c".split()
-    pairs = [(i, j) for i in range(len(doc) - 2) for j in range(len(item) - 2) if doc[i : i + 3] == item[j : j + 3]]
-    tiles = decontamination.greedy_tiles(*map(np.array, zip(*pairs, strict=True)), 3)
-    assert sorted(tiles) == [(1, 5, 5), (7, 0, 5)]
+    item, doc = (np.array([ord(c) for c in t.split()], np.uint64) for t in ("a b c d e f g h i j", "x f g h i j y a b c d e z a b c"))
+    assert sorted(decontamination.greedy_tiles(doc, item, 3)) == [(1, 5, 5), (7, 0, 5)]
+
+
+def naive_tiles(a, b, seed):
+    """Greedy string tiling as defined: of all pairs of places the longest unmarked run, again and again."""
+    used_a, used_b, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used_a[i + n] and not used_b[j + n]:
+                    n += 1
+                best = (i, j, n) if n > best[2] else best
+        i, j, n = best
+        if n < seed:
+            return out
+        out.append(best)
+        used_a[i : i + n] = used_b[j : j + n] = [True] * n
+
+
+def test_greedy_tiles_equal_naive_tiling():
+    rng = random.Random(1)
+    for _ in range(400):
+        letters, seed = rng.choice([1, 2, 3, 6]), rng.choice([1, 2, 3, 4])
+        a, b = ([rng.randrange(letters) for _ in range(rng.randrange(n))] for n in (28, 22))
+        assert decontamination.greedy_tiles(np.array(a, np.uint64), np.array(b, np.uint64), seed) == naive_tiles(a, b, seed)
+
+
+def test_items_covered_as_naive_tiling_says():
+    rng = random.Random(2)
+    items = [(i, " ".join(words(rng, rng.randrange(1, 25), 6))) for i in range(25)]
+    index = decontamination.Items(items, 4)
+    for _ in range(40):
+        text = " ".join(words(rng, rng.randrange(80), 6))
+        a, want = text.split(), []
+        for i, t in items:
+            b = t.split()
+            tiles = naive_tiles(a, b, min(4, len(b)))
+            share = sum(n for *_, n in tiles) / len(b)
+            if share >= (0.5 if len(b) >= 4 else 1.0):
+                want.append((i, share, len(tiles)))
+        assert index.hits(text.encode(), 0.5) == want
+
+
+def test_repeated_words_cost_little():
+    index = decontamination.Items([(i, " ".join(["same"] * 300)) for i in range(20)], 4)
+    began = time.time()
+    assert index.hits(" ".join(["same"] * 20_000).encode(), 0.5) == [(i, 1.0, 1) for i in range(20)]
+    assert time.time() - began < 15
+
+
+def test_decontamination_of_odd_tables(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, item, "x", 1), (1, item, "x", 1), (2, None, "x", 2), (3, "", "x", 3), (4, "z " * 3000 + item, "x", 4), (None, "clean", "x", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Text string, `a.b` long")
+    bench = spark.createDataFrame([(1, item), (1, item), (None, "clean"), (2, None)], "item_id long, text string")
+    for options in ({}, {"block_bytes": 20}):  # passes of one block each
+        assert sorted((r.doc_id or 0, r.contaminated) for r in decontamination.decontaminate(docs, bench, **options).collect()) == [(0, False), (1, True), (1, True), (2, False), (3, False), (4, True)]
+        left = decontamination.drop_contaminated(docs, bench, **options)
+        assert left.columns == docs.columns and sorted(r[3] for r in left.collect()) == [2, 3, 5]
+    assert decontamination.drop_contaminated(docs, bench.where("false")).count() == 6 and decontamination.drop_contaminated(docs.where("false"), bench).collect() == []
+
+
+def test_ids_of_long_white_space():
+    encoding = tiktoken.Encoding("t", pat_str=token_packing.PATTERN, mergeable_ranks=token_packing._ranks(Path(token_packing.VOCABULARY).read_bytes()), special_tokens={})
+    rng, blanks = random.Random(2), " \n\t\x0b\x85\xa0\u2003\u3000\r"
+    for _ in range(300):
+        text = "".join("".join(rng.choice(blanks) for _ in range(rng.choice([1, 2, 999, 1000, 1500]))) if rng.random() < 0.5 else rng.choice(["a", "'s", "\x1c", "é!", "12", " x"]) for _ in range(rng.randrange(1, 6)))
+        assert np.concatenate(token_packing.encode(encoding, text)).tolist() == encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, " \n" * 500_000, "a" + " " * 1_000_000 + "b"], ids=len)
+def test_a_million_blanks_are_packed(spark, text):
+    rows = token_packing.pack_tokens(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, Text string")).collect()
+    assert sum(r.n_tokens for r in rows) >= 1_000_000
+
+
+def test_operators_take_columns_that_differ_by_case(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "x")], "doc_id long, text string, Text string")
+    labels = spark.createDataFrame([(1, 0, "x"), (2, 1, "x")], "doc_id long, toxic int, Toxic string")
+    assert all(r.group_size == 2 for r in exact_dedup.exact_dedup(docs).collect()) and suffix_dedup.repeated_passages(docs).collect() == []
+    assert toxicity.toxicity(docs, labels).count() == 2 and length_buckets.length_buckets(docs).count() == 2
+    left = toxicity.drop_toxic(docs, labels)
+    assert left.columns == docs.columns
+
+
+def test_components_of_a_long_chain_in_no_order(spark):
+    ids = list(range(400))
+    random.Random(3).shuffle(ids)
+    with common.scratch(spark):
+        got = common.components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "u long, v long"), rounds=2).collect()
+    assert len(got) == 400 and {r.component for r in got} == {0}
 
 
 def test_decontamination_finds_reordered_items(spark):
