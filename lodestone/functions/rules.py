@@ -31,7 +31,7 @@ STATUS_TERMS = {
     "更新": ["更新", "调整", "延期", "变更", "恢复"],
     "待核实": ["网传", "据称", "未经证实", "待核实"],
 }
-ACTIVE, RESOLVED = ("新增", "持续", "更新", "待核实"), ("解除", "已结束")
+RESOLVED = ("解除", "已结束")
 
 
 @dataclass(frozen=True)
@@ -72,6 +72,8 @@ class ValueLexicon:
     trade: tuple = ("招标采购", "航线运价", "港口作业")
     policy: str = "政策监管"
     company: str = "企业动态"
+    #: Terms of impact that need more than a substring, as patterns.
+    patterns: dict = field(default_factory=lambda: {"大风": "(?<!重)大风(?!险)"})
 
 
 LATIN_VALUES = ValueLexicon(activity=("cookie", "subscribe", "menu"), impact=("license", "idiot", "scum"), business=("ing", "ment", "keit", "que "), weather=("scum",), safety=("notice",), trade=("market",), policy="weather", company="company")

@@ -76,7 +76,8 @@ def business_value(lexicon: ValueLexicon) -> Column:
     term too, and whatever else has a business term is medium; the rest is unrelated. hits: at most four of the terms.
     """
     title, text = F.coalesce("title", F.lit("")), F.concat_ws("\n", "title", "summary", "impact")
-    hits = lambda x, terms: F.array_compact(F.array(*[F.when(F.contains(x, F.lit(t)), F.lit(t)) for t in terms]))
+    holds = lambda x, t: x.rlike(lexicon.patterns[t]) if t in lexicon.patterns else F.contains(x, F.lit(t))
+    hits = lambda x, terms: F.array_compact(F.array(*[F.when(holds(x, t), F.lit(t)) for t in terms]))
     low, high, business = hits(text, lexicon.activity), hits(text, lexicon.impact), hits(text, lexicon.business)
     title_low, title_high = hits(title, lexicon.activity), hits(title, [t for t in lexicon.impact if t not in lexicon.weather])
     rule = lambda value, name, found, n: F.struct(F.lit(value).alias("value"), F.lit(name).alias("rule"), F.array_join(F.slice(found, 1, n), "、").alias("hits"))
@@ -143,15 +144,15 @@ def report_groups(scored: DataFrame, rules: Rules, per_group: int = 5) -> DataFr
     return top.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= per_group)
 
 
-def validate(events: DataFrame, least_summary: int = 40) -> DataFrame:
-    """A row for each broken rule: (event_id, severity, code)."""
+def validate(events: DataFrame, rules: Rules = Rules(), least_summary: int = 40) -> DataFrame:
+    """A row for each broken rule of drafts: (event_id, severity, code). See validation.issues() for the rules of whole records."""
     title = T.strip(F.col("title"))
     rule = lambda bad, severity, code: F.when(bad, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
     checks = [
         rule(title == "", "error", "required_missing"), rule(F.col("event_date").isNull(), "error", "invalid_event_date"),
         rule(F.length(F.col("summary")) < least_summary, "warning", "short_summary"), rule(F.col("impact") == "", "info", "impact_missing"),
         rule(F.col("related_event_id") == F.col("event_id"), "error", "self_relation"),
-        rule((F.col("status") == "resolved") & F.col("related_event_id").isNull(), "warning", "relief_missing_relation"),
+        rule(F.col("status").isin(*rules.resolved) & F.col("related_event_id").isNull(), "warning", "relief_missing_relation"),
     ]
     row_rules = events.select("event_id", F.explode(F.array_compact(F.array(*checks))).alias("x")).select("event_id", "x.severity", "x.code")
     known = events.select(F.col("event_id").alias("related_event_id")).distinct()

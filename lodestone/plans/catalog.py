@@ -139,12 +139,12 @@ UNION ALL SELECT event_id, 'warning', 'duplicate_title' FROM (SELECT *, min(even
 
 @query(f"WITH {_ISSUES} SELECT * FROM issues")
 def event_validation_issues(spark, sf_dir):
-    return E.validate(_drafts(spark, sf_dir))
+    return E.validate(_drafts(spark, sf_dir), LATIN)
 
 
 @query(f"WITH {_ISSUES} SELECT severity, code, count(*) AS n FROM issues GROUP BY 1, 2")
 def validation_summary(spark, sf_dir):
-    return E.validate(_drafts(spark, sf_dir)).groupBy("severity", "code").agg(F.count("*").alias("n"))
+    return E.validate(_drafts(spark, sf_dir), LATIN).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
 _HASH = r"sha256(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '^\s+|\s+$', '', 'g'))"
