@@ -113,6 +113,12 @@ def score(events: DataFrame, rules: Rules) -> DataFrame:
     return out.drop("__text")
 
 
+def rescored(scored: DataFrame, rules: Rules) -> DataFrame:
+    """Stored events with the scores that the rules give them now, and old_score, old_priority, old_level as they were; texts, categories and states stay."""
+    was = {"old_score": F.col("risk_score"), "old_priority": F.col("priority_score"), "old_level": F.col("risk_level")}
+    return score(scored.withColumns(was), rules)
+
+
 def current_risks(scored: DataFrame, rules: Rules, least: int = 40) -> DataFrame:
     """Active events of at least so much priority that no resolving event points at."""
     resolving = scored.where(F.col("status").isin(*rules.resolved) & F.col("related_event_id").isNotNull()).select(F.col("related_event_id").alias("event_id"))
