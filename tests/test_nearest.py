@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from lodestone.operators import retrieval as R
@@ -37,3 +38,11 @@ def test_queries_may_be_rows_of_the_vectors(spark):
     vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
     got = R.vector_topk(vectors, vectors.where("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding"), 2).collect()
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == {(0, 1, 0, 1.0), (0, 2, 1, 1.0), (10, 1, 6, 19.0), (10, 2, 13, 19.0), (20, 1, 6, 37.0), (20, 2, 13, 37.0)}
+
+
+def test_grams_leave_in_slices_of_few_texts():
+    texts = ["".join(random.Random(i).choice("abcdefgh") for _ in range(200)) for i in range(R.SLICE * 2 + 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "bare"])
+    out = list(R._gram_rows(True)(iter([batch])))
+    assert len(out) == 3 and all(len(set(b.column(0).to_pylist())) <= R.SLICE for b in out)
+    assert [(d, g) for b in out for d, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist())] == [(d, g) for d, t in enumerate(texts) for g in sorted(set(R._least_grams(t).tolist()))]
