@@ -107,3 +107,17 @@ def test_reevaluation_of_quarantined_near_templates(spark):
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, title string, text string, published_at string")
     assert P.template_similarity(docs).collect() == [] and Q.assess(docs).collect() == []
+
+
+def test_issues_are_counted_without_a_second_assessment(spark):
+    docs = spark.createDataFrame([(1, "港口作业通知", "\n".join([SENTENCE] * 3), "2026-01-05"), (2, None, "短", None), (3, "首页", "短", "2026-01-05")], "doc_id long, title string, text string, published_at string")
+    counts = Q.issue_counts(Q.assess(docs))
+    assert {(r.issue, r.n) for r in counts.collect()} == {("thin_body", 2), ("generic_title", 2), ("date_missing", 1)}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("encoding_anomaly") == 1
+
+
+def test_strip_takes_the_white_space_of_the_pattern(spark):
+    every = spark.range(0x10000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    wrong = every.where("length(c) = 1").where((Q.T.strip(F.col("c")) == "") != F.col("c").rlike(r"^(?U)\s$")).count()
+    assert wrong == 0 and spark.range(1).select(Q.T.strip(F.lit("　 a b \n"))).first()[0] == "a b"
