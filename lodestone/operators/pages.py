@@ -154,6 +154,14 @@ def _read_page(html: str, url: str, longest: int | None) -> dict:
     return {"ok": not thin, **out, "truncated": text != whole, "notes": ",".join(notes)}
 
 
+#: How many pages are read at once; Spark's batches hold thousands, and what is made of a page is many times its size.
+SLICE = 64
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, SLICE) for batch in batches for i in range(0, len(batch), SLICE))
+
+
 def extracted(pages: DataFrame, longest: int | None = None) -> DataFrame:
     """(page_id, ok, title, publisher, description, published_date, canonical_url, text, truncated, notes) of pages (page_id, url, html).
 
@@ -164,7 +172,7 @@ def extracted(pages: DataFrame, longest: int | None = None) -> DataFrame:
     kinds = [pa.field("page_id", pa.int64()), pa.field("ok", pa.bool_()), *[pa.field(n, pa.string()) for n in _FIELDS], pa.field("truncated", pa.bool_()), pa.field("notes", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = [{"page_id": i, **_read_page(h or "", u or "", longest)} for i, u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
@@ -176,7 +184,7 @@ def discovered(pages: DataFrame, prefix: str = "", pattern: str = "") -> DataFra
     given, is found in. Targets that aren't http or https are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for i, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for k, (href, texts) in enumerate(Page(html or "").links):
@@ -242,7 +250,7 @@ def decoded(files: DataFrame, key: str = "path", content: str = "content", conte
     bytes, UTF-8 and GB18030 that takes all bytes; else UTF-8 with replacement characters (`replaced`). Names that no codec has are passed over. Null bytes are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [_decode(raw or b"", kind or "") for raw, kind in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], [key, "text", "encoding"])
 

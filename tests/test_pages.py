@@ -4,6 +4,7 @@ import random
 import re
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,12 @@ def test_bytes_of_mixed_encodings_in_one_folder(spark, tmp_path):
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert P.extracted(pages).collect() == P.discovered(pages).collect() == P.url_patterns(pages.select(F.col("url"))).collect() == []
+
+
+def test_a_batch_of_pages_is_read_in_slices(spark):
+    """Before, all pages of one of Spark's batches were held at once with what was made of them."""
+    pages = spark.range(0, 1000, 1, 1).select(F.col("id").alias("page_id"), F.lit("http://a.org/").alias("url"), F.format_string("<p>page %d</p>", "id").alias("html"))
+    assert {r.page_id: r.text for r in P.extracted(pages).collect()} == {i: f"page {i}" for i in range(1000)}
+    batch = pa.record_batch([pa.array(range(1000))], ["page_id"])
+    cut = list(P._slices(iter([batch])))
+    assert max(map(len, cut)) <= P.SLICE and pa.Table.from_batches(cut).column(0).to_pylist() == list(range(1000)) and list(P._slices(iter([batch.slice(0, 0)]))) == []
