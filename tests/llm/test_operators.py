@@ -167,6 +167,37 @@ def test_line_dedup_equals_brute_force(docs, rows, small_tables):
     assert sorted(map(repr, left.collect())) == sorted(map(repr, [type(left.first())(doc_id=i, text=strip(i, t), kept=k) for i, t, k in rows]))
 
 
+def test_line_dedup_runs_few_jobs_and_stores_no_tokens(spark, docs, small_tables, monkeypatch):
+    """What the driver holds grows with the jobs of a call; the tokens of all lines never stand in the shared folder."""
+    labels, write = [], common._write
+    monkeypatch.setattr(common, "_write", lambda df, label, options: (labels.append((label, df.columns)), write(df, label, options))[1])
+    monkeypatch.setattr(common, "checkpointed", lambda df: pytest.fail("a checkpoint of all tokens"))
+    monkeypatch.setattr(line_dedup, "checkpointed", common.checkpointed, raising=False)
+    spark.sparkContext.setJobGroup("line-dedup", "")
+    try:
+        line_dedup.removed_lines(docs)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("line-dedup"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [label for label, columns in labels if "tokens" in columns] == ["named-lines"] * 2
+    assert len(labels) <= 16 and jobs <= 80
+
+
+def test_line_dedup_puts_frequent_words_last(spark, small_tables, monkeypatch):
+    """Long words that all lines hold stand last in the order of words; the result is that of brute force."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "SLOTS", 20)
+    rng = random.Random(5)
+    texts = [" ".join(["everywhere-in-all-lines", "another-frequent-word", *words(rng, rng.randrange(3, 9), 40)]) for _ in range(150)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with common.scratch(spark):
+        lines = line_dedup.token_lines(table)
+        first, last = (x.select(F.explode("prefix").alias("token")).groupBy("token").count().agg(F.max("count")).first()[0] for x in (line_dedup.first_lines(lines, 80), line_dedup.ordered_lines(lines, 80)))
+    assert first > 100 and last < first
+    assert {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup.removed_lines(table).collect()} == without_repeats(enumerate(texts))
+
+
 def test_line_dedup_takes_short_lines(spark, tmp_path, small_tables):
     """Lines of one word and more, near copies of many lengths and permuted lines, in the query, the stage of the pipeline and the operator, against brute force."""
     rng = random.Random(11)
