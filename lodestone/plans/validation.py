@@ -62,4 +62,4 @@ def validation_report(spark, sf_dir):
 @query()
 def similar_title_issues(spark, sf_dir):
     records = _records(spark, sf_dir)
-    return VA.issues(records, "2026-06-01", _VOCABULARY, similar=R.near_titles(records.select("row", "title"), "row", "title").where("ratio < 1")).where("code = 'similar_title'")
+    return VA.issues(records, "2026-06-01", _VOCABULARY, similar=R.similar_rows(records.select("row", "title"), "row", "title")).where("code = 'similar_title'")

@@ -1,6 +1,7 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import values as V
@@ -30,6 +31,50 @@ def test_near_titles_against_all_pairs(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("rows, chars", [(32768, 1 << 23), (7, 500)])
+def test_near_keys_equal_all_pairs(spark, monkeypatch, rows, chars):
+    """Edits that touch every gram of a title are found too; before, such pairs met on no rare gram."""
+    monkeypatch.setattr(R, "ROWS", rows)
+    monkeypatch.setattr(R, "CHARS", chars)
+    rng, keys = random.Random(4), {"abcdefghijklmnopqrstuvwxy", "中文标题一二三四五六七八", "中文标题一二三四五六七九"}
+    for size in (7, 30, 64, 90, 250, 700):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)]
+        keys |= {"".join(base), "".join(c if i % 6 else rng.choice("123456789") for i, c in enumerate(base)), "".join(c for i, c in enumerate(base) if i % 4 != 3)}
+        keys |= {"".join(rng.sample(base, size)) for _ in range(3)} | {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)) for _ in range(6)}
+    keys = sorted(keys, key=lambda k: rng.random())
+    frame = lambda part: spark.createDataFrame(part, "id long, k string")
+    share = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    for least in (0.84, 0.72):
+        got = [(r.a, r.b, r.ratio) for r in R.near_keys(frame(list(enumerate(keys))), None, least).collect()]
+        assert len(got) == len(set(got)) > 5 and set(got) == {(i, j, s) for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j and (s := share(a, b)) >= least}
+        got = {(r.a, r.b) for r in R.near_keys(frame(list(enumerate(keys[:20]))), frame(list(enumerate(keys[10:]))), least).collect()}
+        assert got == {(i, j) for i, a in enumerate(keys[:20]) for j, b in enumerate(keys[10:]) if share(a, b) >= least}
+    assert R.near_keys(frame([]), None, 0.84).collect() == R.near_keys(frame([(1, "a")]), frame([]), 0.84).collect() == []
+
+
+def test_titles_of_the_queries_are_whole_first_lines(spark, tmp_path):
+    """Before, titles were cut at 120 characters: 0 and 1 counted as copies, 2 and 3 weren't alike."""
+    from lodestone.plans import catalog, relations, sources  # noqa: F401  register their queries
+
+    rng = random.Random(6)
+    text = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    head, tail = text(120), text(900)
+    rows = [(i, f"{t}\nnext", "en", f"src{i}", len(t) + 5) for i, t in enumerate((head + text(400), head + text(400), text(120) + tail, text(120) + tail))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    share = difflib.SequenceMatcher(None, rows[2][1].split("\n")[0], rows[3][1].split("\n")[0]).ratio()
+    assert {(r.a, r.b, r.ratio) for r in catalog.Q["near_titles"](spark, str(tmp_path)).collect()} == {(2, 3, round(share, 6))} and share > 0.84
+    assert {(r.a, r.b) for r in catalog.Q["duplicate_scores"](spark, str(tmp_path)).collect()} == {(2, 3)} and {r.event_id for r in catalog.Q["duplicate_event_ids"](spark, str(tmp_path)).collect()} == {2, 3}
+
+
+def test_rows_that_repeat_a_similar_title(spark):
+    """As a loop over all earlier rows finds them; before, only the first row of a repeated title was looked at."""
+    titles = ["harbour notice 1", "harbour notice 2", "Harbour Notice 1", "harbour notice 2!", "other words", "short", None, "other words"]
+    keys = ["".join(c for c in (t or "").lower() if c.isalnum()) for t in titles]
+    want = {b for b, k in enumerate(keys) if len(k) >= 6 and any(o != k and len(o) >= 6 and difflib.SequenceMatcher(None, o, k).ratio() >= 0.84 for o in keys[:b])}
+    got = {r.b for r in R.similar_rows(spark.createDataFrame(list(enumerate(titles)), "row long, title string"), "row", "title").collect()}
+    assert got == want == {1, 2, 3}
+
+
 def test_fixed_vocabulary(spark):
     """Functions whose default terms the given tables don't hold."""
     r = spark.range(1).select(
